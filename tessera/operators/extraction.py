@@ -147,7 +147,7 @@ def extract_contacts(texts: DataFrame, key: str = "doc_id", text: str = "text")
     emails = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(rules.EMAIL_PATTERN), 0), F.lower))
     phones = F.array_distinct(
         F.filter(
-            F.transform(F.regexp_extract_all(t, F.lit(rules.PHONE_PATTERN), 0), F.trim),
+            F.transform(F.regexp_extract_all(t, F.lit(rules.PHONE_PATTERN), 0), lambda x: F.trim(x)),
             lambda p: F.length(F.regexp_replace(p, "[^0-9]", "")) >= 7,
         )
     )
@@ -272,7 +272,7 @@ def audit_pages_pick(links: DataFrame, n: int = 2) -> DataFrame:
 
 def dedup_lines(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Text with lines of 20 letters or less and repeated lines removed, and a low-content flag."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     kept = F.array_join(F.array_distinct(F.filter(lines, lambda l: F.length(l) > 20)), " ")
     flat = F.trim(F.regexp_replace(kept, r"\s+", " "))
     return texts.select(
@@ -685,7 +685,7 @@ def _fallback_people(nodes: DataFrame) -> DataFrame:
     cut = F.transform(boxes, lambda e: F.struct(e["n"].alias("n"), under(page, e).alias("sub")))
     box = nodes.select("page_id", "url", F.explode(cut).alias("b")).select("page_id", "url", "b.*")
     joined = text_of(F.col("sub"), "|")
-    texts = F.filter(F.transform(F.split(joined, r"[|,—–\n]"), F.trim), lambda t: t != "")
+    texts = F.filter(F.transform(F.split(joined, r"[|,—–\n]"), lambda x: F.trim(x)), lambda t: t != "")
     box = box.filter((joined != "") & (F.length(joined) <= 300)).select(
         "page_id", "url", "n", texts.alias("texts"), F.exists("sub", lambda x: is_tag(x, "img")).alias("has_image"), _hrefs(F.col("sub")).alias("hrefs")
     ).filter("size(texts) between 2 and 10")
@@ -892,7 +892,7 @@ def profiles_from_serp(rows: DataFrame) -> DataFrame:
     a title word is the job title, the first other one of up to four words the name.
     """
     clean = F.trim(F.replace(F.replace("title", F.lit("| LinkedIn"), F.lit("")), F.lit("- LinkedIn"), F.lit("")))
-    parts = F.transform(F.when(clean.contains("|"), F.split(clean, r"\|")).otherwise(F.split(clean, "-")), F.trim)
+    parts = F.transform(F.when(clean.contains("|"), F.split(clean, r"\|")).otherwise(F.split(clean, "-")), lambda x: F.trim(x))
     company = F.lower("company_name")
     base = rows.filter(F.col("url").contains("linkedin.com/in")).withColumn("parts", parts)
     foreign = F.filter(

@@ -47,8 +47,11 @@ def _blocked(left: DataFrame, right: DataFrame):
     own_l = F.pmod(F.xxhash64("id"), F.lit(n_left)).cast("int")
     own_r = F.pmod(F.xxhash64("id"), F.lit(n_right)).cast("int")
     l = left.select("id", "vec", own_l.alias("lb"), F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("rb"))
-    r = right.select("id", "vec", own_r.alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("lb"))
-    return l.groupBy("lb", "rb").cogroup(r.groupBy("lb", "rb"))
+    r = right.select(
+        F.col("id").alias("right_id"), F.col("vec").alias("right_vec"), own_r.alias("own_rb"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("other_lb"),
+    )
+    return l.groupBy("lb", "rb").cogroup(r.groupBy("other_lb", "own_rb"))
 
 
 def top_similar(queries: DataFrame, vectors: DataFrame, n: int, skip_self: bool) -> DataFrame:
@@ -63,9 +66,9 @@ def top_similar(queries: DataFrame, vectors: DataFrame, n: int, skip_self: bool)
             return pd.DataFrame({"query_id": [], "match_id": [], "similarity": []}).astype(
                 {"query_id": "int64", "match_id": "int64", "similarity": "float64"}
             )
-        right = right.sort_values("id")
-        ids = right["id"].to_numpy()
-        score = np.floor(_unit_rows(left["vec"]) @ _unit_rows(right["vec"]).T * 1000 + 0.5) / 1000
+        right = right.sort_values("right_id")
+        ids = right["right_id"].to_numpy()
+        score = np.floor(_unit_rows(left["vec"]) @ _unit_rows(right["right_vec"]).T * 1000 + 0.5) / 1000
         if skip_self:
             score[left["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
         best = np.argsort(-score, axis=1, kind="stable")[:, :n]
@@ -104,8 +107,8 @@ def vector_duplicates(vectors: DataFrame, threshold: float = 0.92) -> DataFrame:
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "first": []}).astype("int64")
-        ids = right["id"].to_numpy()
-        near = _unit_rows(left["vec"]) @ _unit_rows(right["vec"]).T >= threshold
+        ids = right["right_id"].to_numpy()
+        near = _unit_rows(left["vec"]) @ _unit_rows(right["right_vec"]).T >= threshold
         first = np.where(near, ids[None, :], np.iinfo(np.int64).max).min(axis=1)
         hit = near.any(axis=1)
         return pd.DataFrame({"id": left["id"].to_numpy()[hit], "first": first[hit]})
