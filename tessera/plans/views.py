@@ -13,10 +13,10 @@ from tessera.sources.tables import SCHEMAS, read_table
 
 
 def _stem(key: str) -> str:
-    """Pronounceable six-letter word from the hash of a key expression."""
+    """Pronounceable ten-letter word from the hash of a key expression."""
     h = f"md5(cast({key} as string))"
     parts = []
-    for i in range(1, 7):
+    for i in range(1, 11):
         letters = "bcdfghjklmnprstv" if i % 2 else "aeiouaeiouaeioua"
         parts.append(f"translate(substr({h}, {i}, 1), '0123456789abcdef', '{letters}')")
     return f"upper({parts[0]}) || " + " || ".join(parts[1:])
@@ -108,7 +108,7 @@ select c_custkey * 4 as record_id, c_custkey % 11 + 1 as job_id, 'google_maps' a
 from {{customer}}
 union all
 select c_custkey * 4 + 1, c_custkey % 11 + 1, 'justdial',
-       substr({_stem("c_custkey")}, 1, 3) || substr({_stem("c_custkey")}, 5, 2) || ' '
+       substr({_stem("c_custkey")}, 1, 3) || substr({_stem("c_custkey")}, 5, 6) || ' '
          || {_pick("c_custkey", TRADES)},
        case when c_custkey % 2 = 0 then '0' || cast(9000000000 + (c_custkey * 7919) % 900000000 as string) end,
        cast(null as string), cast(null as string),

@@ -43,7 +43,7 @@ def some_names(rng, n):
     return sorted(x for x in names if x)
 
 
-@pytest.mark.parametrize("hot", [2, 200])
+@pytest.mark.parametrize("hot", [2, 12, 200])
 def test_fuzzy_self_join_finds_exactly_the_similar_pairs(spark, hot):
     rng = random.Random(7)
     names = some_names(rng, 260)
