@@ -155,14 +155,18 @@ def extract_contacts(texts: DataFrame, key: str = "doc_id", text: str = "text")
         t, F.lit(r"(?i)(?:wa\.me/|whatsapp[^\S\n]*:?[^\S\n]*(?=\+?[0-9][0-9\s\-]{7,15}))(\+?[0-9][0-9\s\-]*)"), 1
     )
     first_wa = F.transform(F.slice(whatsapp, 1, 1), lambda w: F.regexp_replace(w, r"\s", ""))
-    kinds = [
-        texts.select(key, F.lit("email").alias("kind"), F.posexplode(emails).alias("pos", "value")),
-        texts.select(key, F.lit("phone").alias("kind"), F.posexplode(phones).alias("pos", "value")),
-        texts.select(key, F.lit("whatsapp").alias("kind"), F.posexplode(first_wa).alias("pos", "value")),
-    ]
+
+    def tagged(kind: str, values: Column) -> Column:
+        return F.transform(
+            values, lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), i.alias("pos"))
+        )
+
+    # one scan and one explode for all kinds
+    found = F.concat(tagged("email", emails), tagged("phone", phones), tagged("whatsapp", first_wa))
+    rows = texts.select(key, F.explode(found).alias("c")).select(key, "c.*")
     local = F.split_part(F.col("value"), F.lit("@"), F.lit(1))
     cls = F.when(F.col("kind") == "email", F.when(local.isin(*rules.GENERIC_EMAILS), "generic").otherwise("personal"))
-    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).select(key, "kind", "value", cls.alias("class"), "pos")
+    return rows.select(key, "kind", "value", cls.alias("class"), "pos")
 
 
 def extract_addresses(texts: DataFrame, key: str = "page_id", text: str = "text", n: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ from tessera.functions import rules
 from tessera.functions.keys import digits, host_key, present
 from tessera.operators.skew import top_n_per
 
-# A query list is sent to every task only below this many rows; a longer one is matched by letters.
+# A query list is sent to every task only up to this many rows; a longer one is matched over pieces.
 SMALL_QUERY_LIST = 10_000
 
 
@@ -29,17 +29,14 @@ def _quote(word: str) -> str:
     return "".join("\\" + ch if ch in r"\.[]{}()*+-?^$|" else ch for ch in word)
 
 
-def keyword_search(companies: DataFrame, queries: DataFrame, n: int = 50) -> DataFrame:
+def keyword_search(companies: DataFrame, queries: DataFrame, n: int = 50, small: int = SMALL_QUERY_LIST) -> DataFrame:
     """(query_id, rank, company_id): companies whose name, industry or description holds the keyword
     and whose city or state holds the place, the first ``n`` by id per query.
 
-    Keywords and places are folded to distinct ones first. ``queries`` (query_id, keyword, location)
-    is checked to be short before it is sent to every task; a long one must come in batches.
+    Keywords and places are folded to distinct ones first. A short list (its size is checked) is sent
+    to every task; a long one meets the companies over the three letters its keywords start with.
     """
     asked = queries.select(F.lower("keyword").alias("kw"), F.lower("location").alias("loc")).distinct()
-    size = asked.count()
-    if size > SMALL_QUERY_LIST:
-        raise ValueError(f"{size} distinct queries; pass at most {SMALL_QUERY_LIST} at a time")
     c = companies.select(
         "company_id",
         F.lower("name").alias("n"),
@@ -52,7 +49,10 @@ def keyword_search(companies: DataFrame, queries: DataFrame, n: int = 50) -> Dat
         "(contains(n, kw) or coalesce(contains(i, kw), false) or coalesce(contains(d, kw), false)) "
         "and (loc is null or contains(ci, loc) or contains(st, loc))"
     )
-    found = c.join(F.broadcast(asked), hit).select("kw", "loc", "company_id")
+    if asked.count() <= small:
+        found = c.join(F.broadcast(asked), hit).select("kw", "loc", "company_id")
+    else:
+        found = _search_by_pieces(c, asked, hit)
     best = top_n_per(found, ["kw", "loc"], [F.asc("company_id")], n, rank="rank")
     q = queries.select("query_id", F.lower("keyword").alias("kw"), F.lower("location").alias("loc"))
     return q.join(best, q["kw"].eqNullSafe(best["kw"]) & q["loc"].eqNullSafe(best["loc"])).select(
@@ -60,6 +60,18 @@ def keyword_search(companies: DataFrame, queries: DataFrame, n: int = 50) -> Dat
     )
 
 
+def _search_by_pieces(c: DataFrame, asked: DataFrame, hit: Column) -> DataFrame:
+    """Keywords of three letters or more are found over equal pieces; the few shorter ones are sent everywhere."""
+    text = F.concat_ws(" ", "n", "i", "d")
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda p: F.substr(text, p, F.lit(3))))
+    cut = c.withColumn("piece", F.explode(pieces))
+    long = asked.filter(F.length("kw") >= 3).withColumn("piece", F.substring("kw", 1, 3))
+    by_piece = cut.join(long, "piece").filter(hit).select("kw", "loc", "company_id")
+    # at most a few thousand different texts have under three letters
+    short = asked.filter(F.length("kw") < 3)
+    return by_piece.unionByName(c.join(short, hit).select("kw", "loc", "company_id"))
+
+
 def faceted_search(
     companies: DataFrame,
     intelligence: DataFrame,

@@ -17,12 +17,16 @@ KNOWN_FIELDS = tuple(f.split()[0] for f in RAW_SCHEMA.split(", ") if not f.start
 
 
 def load_raw(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """JSON lines of any source as (records, rejected lines).
+    """JSON-lines files of any source as (records, rejected lines)."""
+    return parse_raw(spark.read.text(path))
+
+
+def parse_raw(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """JSON lines in the column ``value`` as (records, rejected lines).
 
     All sources share one schema; keys outside it are kept in the variant column ``extra``.
     """
-    lines = spark.read.text(path).withColumn("whole", F.try_parse_json("value"))
-    parsed = lines.withColumn("r", F.from_json("value", RAW_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    parsed = lines.withColumn("whole", F.try_parse_json("value")).withColumn("r", F.from_json("value", RAW_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = F.col("whole").isNull() | F.col("r._corrupt_record").isNotNull()
     everything = F.from_json("value", "map<string,string>")
     extra = F.map_filter(everything, lambda k, v: ~k.isin(*KNOWN_FIELDS))
