@@ -439,7 +439,11 @@ def audit_pages(pages: DataFrame) -> DataFrame:
         F.when(widgets, "It has lead conversion elements in place.").otherwise("It lacks strong lead conversion widgets."),
     )
     networks = ("linkedin.com", "twitter.com", "facebook.com", "instagram.com", "youtube.com")
-    social = compact(*[F.get(F.filter("hrefs", lambda h, d=d: h.contains(d)), F.lit(0)) for d in networks])
+
+    def first_link(domain: str) -> Column:
+        return F.get(F.filter("hrefs", lambda h: h.contains(domain)), F.lit(0))
+
+    social = compact(*[first_link(d) for d in networks])
     return base.withColumns({"issues": issues, "summary": summary, "social_links": F.array_distinct(social)}).drop("hrefs")
 
 
@@ -578,7 +582,7 @@ def pre_gate(name: Column, title: Column, section: Column, brand: Column, image:
     cased = F.exists(F.split(F.trim(name), r"\s+"), lambda w: w.rlike("[a-z][A-Z]") & ~w.rlike("^(?i:mac|mc)[A-Z]"))
     product = (
         (present(brand) & F.array_contains(words, brand))
-        | ((F.size(words) >= 2) & F.element_at(words, -1).isin(*rules.COUNTRY_SUFFIXES))
+        | ((F.size(words) >= 2) & F.try_element_at(words, F.lit(-1)).isin(*rules.COUNTRY_SUFFIXES))
         | F.arrays_overlap(bare, banned)
         | cased
     )
@@ -610,7 +614,7 @@ def _hrefs(nodes: Column) -> Column:
 def _last_after(hrefs: Column, prefix: str) -> Column:
     """What follows the prefix in the last link that has it, without a query."""
     kept = F.filter(hrefs, lambda h: h.startswith(prefix))
-    return F.trim(F.split_part(F.replace(F.element_at(kept, -1), F.lit(prefix), F.lit("")), F.lit("?"), F.lit(1)))
+    return F.trim(F.split_part(F.replace(F.try_element_at(kept, F.lit(-1)), F.lit(prefix), F.lit("")), F.lit("?"), F.lit(1)))
 
 
 def brand_of(url: str = "url") -> Column:
@@ -666,7 +670,7 @@ def person_candidates(nodes: DataFrame, minimum: int = 50) -> DataFrame:
         F.when(human.isNotNull() & (place > 0), F.get(after, F.lit(0))).alias("title"),
         own_link.alias("linkedin"),
         _last_after(F.col("hrefs"), "mailto:").alias("email"),
-        F.trim(F.replace(F.element_at(F.filter("hrefs", lambda h: h.startswith("tel:")), -1), F.lit("tel:"), F.lit(""))).alias("phone"),
+        F.trim(F.replace(F.try_element_at(F.filter("hrefs", lambda h: h.startswith("tel:")), F.lit(-1)), F.lit("tel:"), F.lit(""))).alias("phone"),
     ).filter("name is not null")
     firsts = found.groupBy("page_id", F.lower("name").alias("key")).agg(F.min("n").alias("n"))
     found = found.withColumn("key", F.lower("name")).join(firsts, ["page_id", "key", "n"], "left_semi").drop("key")

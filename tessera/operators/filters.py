@@ -247,7 +247,7 @@ def human_name_reason(name: str = "name", website: str = "website") -> Column:
     bare = F.transform(F.split(lower, r"\s+"), lambda w: F.regexp_replace(w, "[^a-z]", ""))
     brand = F.lower(F.split_part(F.regexp_extract(website, r"^(?:https?://)?([^/:]*)", 1), F.lit("."), F.lit(1)))
     branded = (F.length(brand) > 2) & (brand != "www") & F.array_contains(F.split(lower, r"\s+"), brand)
-    country = (F.size(words) >= 2) & F.lower(F.element_at(words, -1)).isin(*rules.COUNTRY_SUFFIXES)
+    country = (F.size(words) >= 2) & F.lower(F.try_element_at(words, F.lit(-1))).isin(*rules.COUNTRY_SUFFIXES)
 
     def is_product(w: Column) -> Column:
         clean = F.regexp_replace(F.lower(w), "[^a-z]", "")
@@ -260,7 +260,7 @@ def human_name_reason(name: str = "name", website: str = "website") -> Column:
         F.transform(words, lambda w: F.when(is_product(w), "PRODUCT_NAME_DETECTED").when(is_cased(w), "BRAND_CASING_DETECTED")),
         lambda v: v.isNotNull(),
     )
-    keyword = F.element_at(F.array_intersect(F.array(*[F.lit(k) for k in rules.REJECT_KEYWORDS]), bare), 1)
+    keyword = F.get(F.array_intersect(F.array(*[F.lit(k) for k in rules.REJECT_KEYWORDS]), bare), F.lit(0))
     has_keyword = F.arrays_overlap(F.array(*[F.lit(k) for k in rules.REJECT_KEYWORDS]), bare)
     letters = F.filter(F.split(F.trim(F.regexp_replace(n, r"[0-9()+\-]", "")), r"\s+"), lambda w: w != "")
     shaped = F.size(letters).between(2, 4) & F.forall(letters, lambda w: w.rlike(r"^[A-Za-z.'-]+$"))
