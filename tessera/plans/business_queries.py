@@ -9,7 +9,6 @@ from tessera.operators import filters as flt
 from tessera.operators import joins, scoring, sets
 from tessera.plans.catalog import query, sql_any, sql_in, sql_values
 from tessera.plans.record_queries import (
-    LEADING,
     SQL_CATEGORY,
     SQL_PEOPLE,
     SQL_RAW_SCORE,
@@ -17,18 +16,11 @@ from tessera.plans.record_queries import (
     _MARKED,
     _person_rows,
     sql_dm,
+    ts,
 )
 from tessera.sources import sinks
 from tessera.streaming import jobs as streams
 
-AS_OF = F.lit("2024-02-15 00:00:00").cast("timestamp")
-_T = "timestamp '2024-02-15 00:00:00'"
-
-
-def ts(text: str):
-    return F.lit(text).cast("timestamp")
-
-
 def _intel(t):
     services = F.when(F.col("services_needed") == "", F.array().cast("array<string>")).otherwise(F.split("services_needed", ","))
     return t.company_intelligence.withColumn("services_needed", services)

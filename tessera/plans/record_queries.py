@@ -543,7 +543,8 @@ def _(t):
     return flt.evidence_gate(contact_confidence(_person_rows(t))).select("contact_id", "reject_reason")
 
 
-AS_OF = F.lit("2024-03-15 00:00:00").cast("timestamp")
+def ts(text: str):
+    return F.lit(text).cast("timestamp")
 
 
 @query(
@@ -551,7 +552,7 @@ AS_OF = F.lit("2024-03-15 00:00:00").cast("timestamp")
     "select company_id, enriched_at from companies where enriched_at is null or timestamp '2024-03-15 00:00:00' - enriched_at >= interval '30' day",
 )
 def _(t):
-    return flt.stale_only(t.companies, AS_OF).select("company_id", "enriched_at")
+    return flt.stale_only(t.companies, ts("2024-03-15 00:00:00")).select("company_id", "enriched_at")
 
 
 @query(
@@ -564,7 +565,7 @@ from (select activity_id, case activity_id % 3 when 0 then 'html' when 1 then 'n
 def _(t):
     component = F.when(F.col("activity_id") % 3 == 0, "html").when(F.col("activity_id") % 3 == 1, "ner").otherwise("audit")
     stored = t.activities.select("activity_id", component.alias("component"), F.col("created_at").alias("stored_at"))
-    return flt.fresh_components(stored, F.lit("2024-01-31 00:00:00").cast("timestamp")).select("activity_id", "component", "is_fresh")
+    return flt.fresh_components(stored, ts("2024-01-31 00:00:00")).select("activity_id", "component", "is_fresh")
 
 
 @query(
