@@ -88,7 +88,11 @@ def _(t):
     return run_to_end(jobs.campaign_counters(StreamTables(t).message_events), "complete")
 
 
-@query("str_04_pause_on_reply_stream")
+@query(
+    "str_04_pause_on_reply_stream",
+    """select s.campaign_id, s.contact_id, s.message_id, r.ts as reply_ts, 'replied' as status from message_events s join message_events r on s.message_id = r.message_id
+  where s.kind = 'sent' and r.kind = 'replied' and r.ts >= s.ts and r.ts <= s.ts + interval '30' day""",
+)
 def _(t):
     events = StreamTables(t).message_events
     return run_to_end(jobs.pause_on_reply(events.filter("kind = 'sent'"), events.filter("kind = 'replied'"), 30), "append")
