@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import rules
 from tessera.functions.keys import digits, host_key, present
 from tessera.operators.skew import top_n_per
+from tessera.session import cut_lineage
 
 # A query list is sent to every task only up to this many rows; a longer one is matched over pieces.
 SMALL_QUERY_LIST = 10_000
@@ -21,12 +23,9 @@ def word_table(spark: SparkSession, words: Sequence[str], name: str = "host") ->
 
 
 def any_word(text: Column, words: Sequence[str]) -> Column:
-    """Does the text contain any of the words?"""
-    return F.coalesce(text.rlike("|".join(_quote(w) for w in words)), F.lit(False))
-
-
-def _quote(word: str) -> str:
-    return "".join("\\" + ch if ch in r"\.[]{}()*+-?^$|" else ch for ch in word)
+    """Does the text contain any of the words? Plain substring tests, which are cheaper than one pattern."""
+    found = reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    return F.coalesce(found, F.lit(False))
 
 
 def keyword_search(companies: DataFrame, queries: DataFrame, n: int = 50, small: int = SMALL_QUERY_LIST) -> DataFrame:
@@ -114,8 +113,13 @@ def faceted_search(
     )
 
 
-def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
-    """One page of an ordered list, with the total and the page count on every row."""
+def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int, costly: bool = False) -> DataFrame:
+    """One page of an ordered list, with the total and the page count on every row.
+
+    The list is read twice, for the count and for the page. A ``costly`` one (several joins) should
+    carry few columns; it is written once and read back.
+    """
+    df = cut_lineage(df) if costly else df
     total = df.count()
     rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
     return rows.withColumns({"total": F.lit(total).cast("long"), "pages": F.lit(math.ceil(total / size)).cast("long")})

@@ -60,7 +60,7 @@ def _(t):
 )
 def _(t):
     ranked = _scores(t).filter("lead_score > 0").join(t.companies.select("company_id", "name"), "company_id")
-    return flt.page_of(ranked.select("company_id", "name", "lead_score"), [F.desc("lead_score"), F.asc("company_id")], 1, 50)
+    return flt.page_of(ranked.select("company_id", "name", "lead_score"), [F.desc("lead_score"), F.asc("company_id")], 1, 50, costly=True)
 
 
 @query(
