@@ -186,9 +186,13 @@ def social_profiles(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(found).alias("s")).select("page_id", "s.network", "s.link").filter("link is not null")
 
 
+def _lowered(pages: DataFrame) -> DataFrame:
+    """Site and lower-cased markup, computed once for all signatures."""
+    return pages.select(site_of().alias("site"), F.lower("html").alias("low"))
+
+
 def _signature_flags(signatures: dict[str, Sequence[str]], html: Column) -> list[tuple[str, Column]]:
-    lower = F.lower(html)
-    return [(name, any_word(lower, [w.lower() for w in words])) for name, words in signatures.items()]
+    return [(name, any_word(html, [w.lower() for w in words])) for name, words in signatures.items()]
 
 
 def detect_technology(pages: DataFrame, signatures: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -196,10 +200,10 @@ def detect_technology(pages: DataFrame, signatures: dict[str, Sequence[str]] | N
 
     One pass per page with one test per product; pages are never joined to the signature list.
     """
-    flags = _signature_flags(signatures or rules.TECH_SIGNATURES, F.col("html"))
+    flags = _signature_flags(signatures or rules.TECH_SIGNATURES, F.col("low"))
     hits = compact(*[F.when(c, F.lit(name)) for name, c in flags])
     return (
-        pages.select(site_of().alias("site"), F.explode(hits).alias("technology"))
+        _lowered(pages).select("site", F.explode(hits).alias("technology"))
         .groupBy("site", "technology")
         .agg(F.count(F.lit(1)).alias("pages"))
         .select("site", "technology", F.lit(85).alias("confidence"), "pages")
@@ -208,8 +212,8 @@ def detect_technology(pages: DataFrame, signatures: dict[str, Sequence[str]] | N
 
 def detect_signals(pages: DataFrame, signatures: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """One row per site with a yes/no column per business signal."""
-    flags = _signature_flags(signatures or rules.SIGNAL_SIGNATURES, F.col("html"))
-    marked = pages.select(site_of().alias("site"), *[c.alias(name) for name, c in flags])
+    flags = _signature_flags(signatures or rules.SIGNAL_SIGNATURES, F.col("low"))
+    marked = _lowered(pages).select("site", *[c.alias(name) for name, c in flags])
     return marked.groupBy("site").agg(*[F.max(name).alias(name) for name, _ in flags])
 
 

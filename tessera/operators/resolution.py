@@ -267,32 +267,45 @@ def match_existing(records: DataFrame, companies: DataFrame) -> DataFrame:
     Only the earliest company per phone or host can win, and per record name only the best company
     and the best one on another host, so shared keys never multiply records by companies.
     """
+    # narrow and read many times below, so both are written once
     r = records.select(
         "record_id", phone_key("raw_phone").alias("phone"), host_key("raw_website").alias("host"), fold_name("raw_name").alias("fold")
     )
     c = companies.select(
         "company_id", phone_key("phone").alias("phone"), host_key("website_url").alias("host"), fold_name("name").alias("fold")
     )
+    r, c = cut_lineage(r), cut_lineage(c)
     by_phone = r.join(
         c.filter("phone is not null").groupBy("phone").agg(F.min("company_id").alias("company_id")), "phone"
     ).select("record_id", "company_id", F.lit(1.0).alias("confidence"), F.lit(3).alias("rank"))
+    by_phone = cut_lineage(by_phone)
     by_host = r.join(
         c.filter("host is not null").groupBy("host").agg(F.min("company_id").alias("company_id")), "host"
     ).select("record_id", "company_id", F.lit(0.9).alias("confidence"), F.lit(2).alias("rank"))
 
     places = c.filter("fold is not null").groupBy("fold", "host").agg(F.min("company_id").alias("company_id"))
     names_c = places.groupBy("fold").agg(F.min("company_id").alias("id"))
-    names_r = r.filter("fold is not null").groupBy("fold").agg(F.min("record_id").alias("id"))
+    # a phone match can only be beaten by an equal name, so similar names are sought for the others
+    open_names = r.filter("fold is not null").join(by_phone.select("record_id"), "record_id", "left_anti")
+    names_r = cut_lineage(open_names.groupBy("fold").agg(F.min("record_id").alias("id")))
+    names_c = cut_lineage(names_c)
     nothing = F.lit(None).cast("long").alias("g")
     pairs = fuzzy_name_pairs(
         names_r.select("id", F.col("fold").alias("nm"), nothing), names_c.select("id", F.col("fold").alias("nm"), nothing)
     )
-    offers = (
+    similar = (
         pairs.join(names_r.select(F.col("id").alias("a"), F.col("fold").alias("name")), "a")
         .join(names_c.select(F.col("id").alias("b"), F.col("fold").alias("company_name")), "b")
         .join(places.withColumnRenamed("fold", "company_name"), "company_name")
         .select("name", "company_id", "host", (1 - F.col("distance") / F.col("longer")).alias("confidence"))
     )
+    equal = (
+        r.filter("fold is not null").select(F.col("fold").alias("name")).distinct()
+        .join(places.withColumnRenamed("fold", "name"), "name")
+        .select("name", "company_id", "host", F.lit(1.0).alias("confidence"))
+    )
+    # read twice below; equal names met by the fuzzy join as well do no harm
+    offers = cut_lineage(similar.unionByName(equal))
     order = F.struct("confidence", -F.col("company_id"))
     offer = F.struct("company_id", "host", "confidence")
     first = offers.groupBy("name").agg(F.max_by(offer, order).alias("first"))
