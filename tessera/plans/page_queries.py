@@ -7,7 +7,6 @@ from tessera.functions import rules
 from tessera.operators import extraction as ext
 from tessera.operators import projections as prj
 from tessera.operators import scoring, vectors
-from tessera.operators.joins import keep_last  # noqa: F401  (same window helper as the page jobs)
 from tessera.plans.catalog import query, sql_any, sql_host, sql_in
 from tessera.sources.pages import page_nodes
 from tessera.sources.registry import score_text
