@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.llm import line_dedup
 from tessera.llm.catalog import ORACLES, QUERIES, query, table, vocabulary
 from tessera.llm.packing import pack_documents
 from tessera.llm.sharding import shard_documents
@@ -21,3 +22,9 @@ def op3(spark, base):
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost"
     )
+
+
+@query("op10_line_windows", line_dedup.ROWS_SQL)
+def op10(spark, base):
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeated_lines(docs)
