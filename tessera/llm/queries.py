@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup
+from tessera.llm import fingerprints, line_dedup
 from tessera.llm.catalog import ORACLES, QUERIES, query, table, vocabulary
 from tessera.llm.packing import pack_documents
 from tessera.llm.sharding import shard_documents
@@ -28,3 +28,8 @@ def op3(spark, base):
 def op10(spark, base):
     docs = table(spark, base, "documents").select("doc_id", "text")
     return line_dedup.remove_repeated_lines(docs)
+
+
+@query("op8_bloom_lookup_fingerprints")
+def op8(spark, base):
+    return fingerprints.fingerprint_documents(table(spark, base, "documents").select("doc_id", "text"))
