@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, line_dedup
+from tessera.llm import chat, fingerprints, line_dedup
 from tessera.llm.catalog import ORACLES, QUERIES, query, table, vocabulary
 from tessera.llm.packing import pack_documents
 from tessera.llm.sharding import shard_documents
@@ -33,3 +33,9 @@ def op10(spark, base):
 @query("op8_bloom_lookup_fingerprints")
 def op8(spark, base):
     return fingerprints.fingerprint_documents(table(spark, base, "documents").select("doc_id", "text"))
+
+
+@query("op9_template_chat")
+def op9(spark, base):
+    rows = chat.with_probe(table(spark, base, "conversations"))
+    return chat.read_back(chat.format_conversations(rows))
