@@ -1,13 +1,14 @@
 """Shared helpers: session settings, materialised tables, Arrow batches, byte-level word hashes."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.session import cut_lineage, prepare
+from tessera.session import checkpoint_dir, cut_lineage, prepare
 
 #: Rows and bytes of one Arrow batch; keeps a Python worker small when texts are long.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
@@ -135,3 +136,8 @@ def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def long_list(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
     """list<long> from bounds and unsigned values (kept bit by bit)."""
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64), pa.int64()))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path that isn't taken yet, in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

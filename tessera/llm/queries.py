@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, line_dedup
+from tessera.llm import chat, fingerprints, line_dedup, token_files
 from tessera.llm.catalog import ORACLES, QUERIES, query, table, vocabulary
+from tessera.llm.common import new_folder
 from tessera.llm.packing import pack_documents
 from tessera.llm.sharding import shard_documents
 
@@ -39,3 +40,10 @@ def op8(spark, base):
 def op9(spark, base):
     rows = chat.with_probe(table(spark, base, "conversations"))
     return chat.read_back(chat.format_conversations(rows))
+
+
+@query("op5_repair_token_files")
+def op5(spark, base):
+    path = new_folder(spark, "token-files")
+    token_files.write_token_files(table(spark, base, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
