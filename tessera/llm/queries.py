@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, line_dedup, token_files
+from tessera.llm import chat, fingerprints, line_dedup, near_dups, token_files
 from tessera.llm.catalog import ORACLES, QUERIES, query, table, vocabulary
 from tessera.llm.common import new_folder
 from tessera.llm.packing import pack_documents
@@ -47,3 +47,9 @@ def op5(spark, base):
     path = new_folder(spark, "token-files")
     token_files.write_token_files(table(spark, base, "documents"), path, vocabulary("byte_bpe_50k.json"))
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op4_hyperminhash_components")
+def op4(spark, base):
+    rows = near_dups.near_duplicates(table(spark, base, "documents"), width=2, share=80)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
