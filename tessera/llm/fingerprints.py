@@ -1,8 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-DataFrame functions only. A paragraph is a piece of text up to a line break or the end of a sentence; a document is the
-set of its paragraphs' 64-bit digests. A sketch has three rows of eight cells; each digest enters one cell of each row
-(cell: count, xor of digests, xor of check values). Sketches of two versions are subtracted cell by cell; peeling then
+DataFrame functions only. A paragraph is a piece of text up to a line break or the end of certain sentences; a document is
+the set of its paragraphs' digests (48 bits and 16 check bits). A sketch has three rows of four cells; each digest enters
+one cell of each row (cell: count and xor of its digests). Sketches of two versions are subtracted cell by cell; peeling then
 takes out digests that stand alone in a cell until nothing is left. If that fails, both sets are sketched larger: they are
 split by digest over so many sketches that each holds few differences, and a part that still fails is split by four again
 with another seed. The likeness of two documents is shared / all digests, from the set sizes and the peeled difference.
@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ready, slots, written
 
-ROW, ROWS = 8, 3
+ROW, ROWS = 4, 3
 CELLS = ROW * ROWS
 #: Digests that a part of an enlarged sketch is laid out for; rounds of peeling; enlargements of a failing part.
-PER_PART, ROUNDS, DEPTH = 6, 12, 19
+PER_PART, ROUNDS, DEPTH = 3, 6, 19
+#: A paragraph ends at a line break, or after a sentence whose last letter is one of these: content alone decides, so any two
+#: documents that share a passage cut it alike, and the letters set how fine.
+PARAGRAPH_END = r"\n|(?<=[aeiounr][.!?]) "
 #: How often a failing part is enlarged beside its row; what still fails then is worked on apart, over all rows.
 IN_ROW = 2
 
@@ -30,112 +33,82 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def digests(text: Column) -> Column:
-    """The set of paragraph digests of a text; a null or empty text has none."""
-    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), r"\n|(?<=[.!?]) "), lambda p: p != "")
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+    """The set of paragraph digests of a text; a null or empty text has none.
 
-
-def _cell_bits(key: Column, seed: int) -> Column:
-    """The cells of a digest as set bits of an integer."""
-
-    def bits(h: Column) -> Column:
-        out = F.lit(0)
-        for r in range(ROWS):
-            out = out.bitwiseOR(_shift(F.shiftright(h, 7 + 9 * r).bitwiseAND(F.lit(ROW - 1)).cast("int"), r * ROW))
-        return out
-
-    return _let(F.xxhash64(key, F.lit(seed)), bits)
+    A digest has 48 bits of a hash above 16 bits of check, which tell a digest from a mixture of several.
+    """
+    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH_END), lambda p: p != "")
+    return F.array_distinct(F.transform(pieces, lambda p: _let(F.xxhash64(p).bitwiseAND(F.lit(~0xFFFF)), lambda h: h.bitwiseOR(_check(h)))))
 
 
-def _shift(by: Column, base: int) -> Column:
-    return F.get(F.array(*[F.lit(1 << (base + k)) for k in range(ROW)]), by)
+def _check(h: Column) -> Column:
+    return F.xxhash64(h, F.lit("check")).bitwiseAND(F.lit(0xFFFF))
 
 
-def _check(key: Column) -> Column:
-    return F.xxhash64(F.lit("check"), key).bitwiseAND(F.lit(0xFFFF))
+def _cell_bits(key: Column, seed: int) -> Column:
+    """The cells of a digest, one in each row, as set bits of an integer."""
+    bit = lambda h, r: F.call_function("shiftleft", F.lit(1), F.shiftright(h, 7 + 9 * r).bitwiseAND(F.lit(ROW - 1)).cast("int") + r * ROW)
+    return _let(F.xxhash64(key, F.lit(seed)), lambda h: bit(h, 0).bitwiseOR(bit(h, 1)).bitwiseOR(bit(h, 2)))
 
 
-def _xor(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v))
+def _signed(keys: Column, sign: int, seed: int) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(sign).alias("n"), k.alias("key"), _cell_bits(k, seed).alias("bits")))
 
 
-def _signed(keys: Column, sign: int, seed: int) -> Column:
-    return F.transform(
-        keys, lambda k: F.struct(F.lit(sign).alias("n"), k.alias("key"), _check(k).alias("check"), _cell_bits(k, seed).alias("bits"))
+def _added(entries: Column, cell: Column, i: Column) -> Column:
+    """The cell with the entries that belong to it."""
+    return F.aggregate(
+        entries,
+        cell,
+        lambda c, e: F.when(
+            F.getbit(e["bits"], i) == 1, F.struct((c["n"] + e["n"]).alias("n"), c["key"].bitwiseXOR(e["key"]).alias("key"))
+        ).otherwise(c),
     )
 
 
 def _cells(entries: Column) -> Column:
     """Cells of signed entries: the sketch of the positive ones minus the sketch of the negative ones."""
-
-    def cell(i: Column) -> Column:
-        inside = F.filter(entries, lambda e: F.getbit(e["bits"], i) == 1)
-        return _let(
-            inside,
-            lambda x: F.struct(
-                F.aggregate(x, F.lit(0), lambda a, e: a + e["n"]).alias("n"),
-                _xor(F.transform(x, lambda e: e["key"])).alias("key"),
-                _xor(F.transform(x, lambda e: e["check"])).alias("check"),
-            ),
-        )
-
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), cell)
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"))
+    return _let(entries, lambda given: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: _added(given, none, i)))
 
 
 def sketch(keys: Column, seed: int = 0) -> Column:
-    """The cells (n, key, check) of a set of digests."""
+    """The cells (n, key) of a set of digests."""
     return _cells(_signed(keys, 1, seed))
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(
-        a,
-        b,
-        lambda x, y: F.struct(
-            (x["n"] - y["n"]).alias("n"),
-            x["key"].bitwiseXOR(y["key"]).alias("key"),
-            x["check"].bitwiseXOR(y["check"]).alias("check"),
-        ),
+        a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"))
     )
 
 
 def peel(cells: Column, seed: int) -> Column:
-    """The signed digests that a difference of sketches holds, or null if it can't be peeled to nothing."""
+    """Number of digests that a difference of sketches holds, or null if it can't be peeled to nothing."""
 
     def lone(state: Column) -> Column:
-        pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["check"]))
+        """Digests that stand alone in a cell, with the sign that takes them out."""
+        pure = F.filter(
+            state["cells"],
+            lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"].bitwiseAND(F.lit(~0xFFFF))) == c["key"].bitwiseAND(F.lit(0xFFFF))),
+        )
         return F.array_distinct(
-            F.transform(
-                pure,
-                lambda c: F.struct((-c["n"]).alias("n"), c["key"].alias("key"), c["check"].alias("check"), _cell_bits(c["key"], seed).alias("bits")),
-            )
+            F.transform(pure, lambda c: F.struct((-c["n"]).alias("n"), c["key"].alias("key"), _cell_bits(c["key"], seed).alias("bits")))
         )
 
     def without(state: Column, taken: Column) -> Column:
-        left = F.transform(
-            state["cells"],
-            lambda c, i: _let(
-                F.filter(taken, lambda e: F.getbit(e["bits"], i) == 1),
-                lambda x: F.struct(
-                    F.aggregate(x, c["n"], lambda a, e: a + e["n"]).alias("n"),
-                    F.aggregate(x, c["key"], lambda a, e: a.bitwiseXOR(e["key"])).alias("key"),
-                    F.aggregate(x, c["check"], lambda a, e: a.bitwiseXOR(e["check"])).alias("check"),
-                ),
-            ),
+        left = F.transform(state["cells"], lambda c, i: _added(taken, c, i))
+        return F.struct(left.alias("cells"), (state["found"] + F.size(taken)).alias("found"), F.lit(False).alias("over"))
+
+    def step(state: Column) -> Column:
+        stuck = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("over"))
+        return F.when(state["over"], state).otherwise(
+            _let(lone(state), lambda taken: F.when(F.size(taken) == 0, stuck).otherwise(without(state, taken)))
         )
-        found = F.concat(state["found"], F.transform(taken, lambda e: F.struct((-e["n"]).alias("n"), e["key"].alias("key"))))
-        return F.struct(left.alias("cells"), found.alias("found"))
-
-    start = F.struct(cells.alias("cells"), F.expr("cast(array() as array<struct<n:int,key:bigint>>)").alias("found"))
-    end = F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)),
-        start,
-        lambda state, _: _let(lone(state), lambda taken: F.when(F.size(taken) == 0, state).otherwise(without(state, taken))),
-    )
-    return _let(
-        end,
-        lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0)), s["found"]),
-    )
+
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(False).alias("over"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda state, _: step(state))
+    return _let(end, lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0)), s["found"]))
 
 
 def _part(keys: Column, which: Column, parts: Column, shift: int) -> Column:
@@ -146,7 +119,7 @@ def _attempt(a: Column, b: Column, seed: int) -> Column:
     """n: digests in one set only; null if peeling failed, and then the two sets for the next attempt."""
     entries = F.concat(_signed(a, 1, seed), _signed(b, -1, seed))
     return _let(
-        F.size(peel(_cells(entries), seed)),
+        peel(_cells(entries), seed),
         lambda n: F.struct(n.alias("n"), F.when(n.isNull(), a).alias("a"), F.when(n.isNull(), b).alias("b")),
     )
 
@@ -191,7 +164,7 @@ def with_difference(df: DataFrame, name: str, a: str, cells_a: str, b: str, cell
     The first attempt subtracts the fingerprints themselves. Where it fails the sets are sketched larger, and parts that
     fail are enlarged IN_ROW times more.
     """
-    out = df.withColumn("_first", F.size(peel(subtract(F.col(cells_a), F.col(cells_b)), 0)))
+    out = df.withColumn("_first", peel(subtract(F.col(cells_a), F.col(cells_b)), 0))
     side = F.ceil(F.sqrt((F.size(a) + F.size(b)) / PER_PART)).cast("int")
     empty = F.expr("cast(array() as array<struct<n:int,a:array<bigint>,b:array<bigint>>>)")
     out = out.withColumn("_side", side).withColumn(
@@ -239,16 +212,14 @@ def likeness(total: Column, different: Column) -> Column:
 
 
 def as_text(keys: Column, cells: Column) -> Column:
-    """A fingerprint as a string: number of digests, then count, digest and check of each cell in hexadecimal."""
+    """A fingerprint as a string: number of digests, then count and digest of each cell in hexadecimal."""
     return F.concat(
         F.lpad(F.lower(F.hex(F.size(keys))), 8, "0"),
         F.array_join(
             F.transform(
                 cells,
                 lambda c: F.concat(
-                    F.lpad(F.lower(F.hex(c["n"].bitwiseAND(F.lit(0xFFFFFF)))), 6, "0"),
-                    F.lpad(F.lower(F.hex(c["key"])), 16, "0"),
-                    F.lpad(F.lower(F.hex(c["check"])), 4, "0"),
+                    F.lpad(F.lower(F.hex(c["n"].bitwiseAND(F.lit(0xFFFFFF)))), 6, "0"), F.lpad(F.lower(F.hex(c["key"])), 16, "0")
                 ),
             ),
             "",
