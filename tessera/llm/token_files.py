@@ -30,62 +30,67 @@ MAGIC = b"RPR1"
 HEADER = struct.Struct("<4sIIIQIB")
 INDEX = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("symbols", "<u4"), ("ids", "<u4")])
 #: Ids of a shard; occurrences that make a pair frequent; pairs replaced in a round; rounds.
-SHARD_IDS, FREQUENT, PAIRS, ROUNDS = 1 << 20, 6, 4096, 16
+SHARD_IDS, FREQUENT, PAIRS, ROUNDS = 1 << 20, 6, 4096, 7
 
 
-def _frequent(seq: np.ndarray, end: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Frequent pairs (left, right) with counts, most frequent first; rare pairs are sieved out by a table of hashed counts."""
-    a, b = seq[:-1].astype(np.uint64), seq[1:].astype(np.uint64)
-    keys = (a << np.uint64(32)) | b
-    ok = (seq[:-1] != end) & (seq[1:] != end)
-    keys = keys[ok]
-    slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    keys = keys[np.bincount(slot, minlength=1 << 20)[slot] >= least]
-    keys, counts = np.unique(keys, return_counts=True)
-    keys, counts = keys[counts >= least], counts[counts >= least]
-    order = np.argsort(-counts, kind="stable")[:PAIRS]
-    keys = keys[order]
-    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), counts[order]
+SLOTS = 20  # bits of the table of hashed pair counts
 
 
-def _apart(lefts: np.ndarray, rights: np.ndarray) -> list[tuple[int, int]]:
+def _apart(keys: np.ndarray) -> np.ndarray:
     """The pairs, most frequent first, that can be replaced at once: no symbol is a left part of one and a right part of another."""
     left, right, out = set(), set(), []
-    for a, b in zip(lefts.tolist(), rights.tolist()):
+    for key in keys.tolist():
+        a, b = key >> 32, key & 0xFFFFFFFF
         if a == b and a not in left and a not in right or a != b and a not in right and b not in left:
             left.add(a)
             right.add(b)
-            out.append((a, b))
-    return out
+            out.append(key)
+    return np.array(out, np.int64)
+
+
+def _frequent(keys: np.ndarray, slot: np.ndarray, end: int, least: int) -> np.ndarray:
+    """Frequent pairs, most frequent first; a table of hashed counts sieves out the rare ones before they are counted."""
+    counts = np.bincount(slot, minlength=1 << SLOTS)
+    least = max(least, int(np.partition(counts, -2 * PAIRS)[-2 * PAIRS]))
+    some, counts = np.unique(keys[counts[slot] >= least], return_counts=True)
+    ok = (counts >= least) & (some >> 32 != end) & (some & 0xFFFFFFFF != end)
+    return some[ok][np.argsort(-counts[ok], kind="stable")[:PAIRS]]
 
 
 def compress(ids: np.ndarray, first: int, end: int = END_ID, least: int = FREQUENT, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k, a row (left, right), is symbol ``first + k``; ids must be below ``first``."""
-    seq, rules = ids.astype(np.int64), []
+    seq, rules = ids.astype(np.int64), [np.zeros(0, np.int64)]
+    base = first
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        pairs = _apart(*_frequent(seq, end, least)[:2])
-        if not pairs:
+        keys = (seq[:-1] << 32) | seq[1:]
+        slot = (keys * -7046029254386353131) >> (64 - SLOTS) & ((1 << SLOTS) - 1)
+        pairs = _apart(_frequent(keys, slot, end, least))
+        if not len(pairs):
             break
-        base = first + len(rules)
-        rules += pairs
-        keys = np.array([a << 32 | b for a, b in pairs], np.int64)
-        order = np.argsort(keys)
-        here = (seq[:-1] << 32) | seq[1:]
-        at = np.searchsorted(keys[order], here)
-        at[at == len(keys)] = 0
-        hit = keys[order][at] == here
-        same = seq[:-1] == seq[1:]
-        if (hit & same).any():  # in a run of one symbol every second place
-            place = np.arange(len(seq))
-            begins = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), place, 0))
-            hit &= ~same | ((place - begins)[:-1] % 2 == 0)
-        seq[:-1][hit] = base + order[at[hit]]
+        place = np.full(1 << SLOTS, -1, np.int64)
+        own = (pairs * -7046029254386353131) >> (64 - SLOTS) & ((1 << SLOTS) - 1)
+        place[own[::-1]] = np.arange(len(pairs))[::-1]
+        pairs = pairs[place[own] == np.arange(len(pairs))]  # of two pairs in one slot the rarer waits for the next round
+        place[own] = -1
+        own = (pairs * -7046029254386353131) >> (64 - SLOTS) & ((1 << SLOTS) - 1)
+        place[own] = np.arange(len(pairs))
+        which = place[slot]
+        hit = (which >= 0) & (pairs[which] == keys)
+        same = hit & (seq[:-1] == seq[1:])
+        if same.any():  # in a run of one symbol every second place
+            at = np.arange(len(seq))
+            begins = np.maximum.accumulate(np.where(np.concatenate([[True], seq[:-1] != seq[1:]]), at, 0))
+            hit &= ~same | ((at - begins)[:-1] % 2 == 0)
+        seq[:-1][hit] = base + which[hit]
         keep = np.ones(len(seq), bool)
         keep[1:][hit] = False
         seq = seq[keep]
-    return seq, np.array(rules, np.int64).reshape(-1, 2)
+        rules.append(pairs)
+        base += len(pairs)
+    flat = np.concatenate(rules)
+    return seq, np.stack([flat >> 32, flat & 0xFFFFFFFF], axis=1)
 
 
 def lengths_of(rules: np.ndarray, first: int) -> np.ndarray:
@@ -98,18 +103,20 @@ def lengths_of(rules: np.ndarray, first: int) -> np.ndarray:
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     """The ids of the symbols."""
-    symbols = symbols.astype(np.int64)
-    while True:
-        big = symbols >= first
-        if not big.any():
-            return symbols.astype("<u4")
-        width = big + 1
-        at = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.int64)
-        out[at[~big]] = symbols[~big]
-        pair = rules[symbols[big] - first]
-        out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
+    big = symbols >= first
+    held: list[np.ndarray] = []  # what each rule stands for
+    if big.any():
+        for a, b in rules.tolist():
+            held.append(np.concatenate([held[a - first] if a >= first else [a], held[b - first] if b >= first else [b]]))
+    width = np.ones(len(symbols), np.int64)
+    source = np.arange(len(symbols))
+    if held:
+        sizes = np.array([len(h) for h in held], np.int64)
+        width[big] = sizes[symbols[big] - first]
+        source[big] = len(symbols) + (np.cumsum(sizes) - sizes)[symbols[big] - first]
+    pool = np.concatenate([symbols, *held]).astype("<u4")
+    ends = np.cumsum(width)
+    return pool[np.repeat(source - (ends - width), width) + np.arange(int(width.sum()))]
 
 
 def _pack(values: np.ndarray, bits: int) -> bytes:

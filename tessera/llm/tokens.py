@@ -11,11 +11,12 @@ import re
 import struct
 
 #: Words and pieces kept per worker, at most; later ones are worked out each time (the ids stay the same).
-KEPT_WORDS, KEPT_PIECES = 900_000, 300_000
+KEPT_WORDS, KEPT_PIECES = 900_000, 600_000
 END_ID = 2
 
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 _SAFE_BLANK = re.compile(r"(?<=\S) ")
+_ODD_BLANK = re.compile(r"(?:^|\s) |\Z(?<= )")
 
 
 def byte_letters() -> dict[int, str]:
@@ -48,16 +49,16 @@ class Encoder:
                 self.plain[piece] = have
         return have
 
-    def _piece(self, piece: str) -> bytes:
-        blank = "" if self.words or not piece.startswith(" ") else " "
-        plain = _PLAIN.fullmatch(piece, len(blank))
+    def _piece(self, piece: str, blank: str = "") -> bytes:
+        """The ids of a piece that has ``blank`` before it; kept if it may be met again."""
+        plain = _PLAIN.fullmatch(piece)
         if plain:
             word, marks = plain.groups()
             out = self._model(blank + (word.lower() if self.words else word)) + (self._model(marks) if marks else b"")
         else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            ids = self.tokenizer.encode(blank + piece, add_special_tokens=False).ids
             out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.whole) < KEPT_PIECES:
+        if len(self.whole) < KEPT_PIECES and (blank or self.words):
             self.whole[piece] = out
         return out
 
@@ -68,13 +69,11 @@ class Encoder:
         if any(s in text for s in self.special):  # such strings may span blanks in other files: no cutting
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        if self.words:
-            pieces = text.replace("\n", " ").split(" ")
-        else:
-            pieces = _SAFE_BLANK.split(text)
-            pieces[1:] = [" " + p for p in pieces[1:]]
         known, piece = self.whole.get, self._piece
-        return b"".join([known(p) or piece(p) if p else b"" for p in pieces])
+        if self.words:
+            return b"".join([known(p) or piece(p) if p else b"" for p in text.replace("\n", " ").split(" ")])
+        head, *tail = _SAFE_BLANK.split(text) if _ODD_BLANK.search(text) else text.split(" ")
+        return (piece(head) if head else b"") + b"".join([known(p) or piece(p, " ") for p in tail])
 
 
 _encoders: dict[str, Encoder] = {}
