@@ -14,9 +14,9 @@ import struct
 KEPT_WORDS, KEPT_PIECES = 900_000, 600_000
 END_ID = 2
 
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: A word of Latin letters and a run of marks (no apostrophe), perhaps twice with a line break between.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*))?")
 _SAFE_BLANK = re.compile(r"(?<=\S) ")
-_ODD_BLANK = re.compile(r"(?:^|\s) |\Z(?<= )")
 
 
 def byte_letters() -> dict[int, str]:
@@ -53,8 +53,9 @@ class Encoder:
         """The ids of a piece that has ``blank`` before it; kept if it may be met again."""
         plain = _PLAIN.fullmatch(piece)
         if plain:
-            word, marks = plain.groups()
-            out = self._model(blank + (word.lower() if self.words else word)) + (self._model(marks) if marks else b"")
+            word, *more = plain.groups()
+            parts = [blank + word, *(p for p in more if p)]
+            out = b"".join([self._model(p.lower() if self.words else p) for p in parts])
         else:
             ids = self.tokenizer.encode(blank + piece, add_special_tokens=False).ids
             out = struct.pack(f"<{len(ids)}I", *ids)
@@ -72,7 +73,8 @@ class Encoder:
         known, piece = self.whole.get, self._piece
         if self.words:
             return b"".join([known(p) or piece(p) if p else b"" for p in text.replace("\n", " ").split(" ")])
-        head, *tail = _SAFE_BLANK.split(text) if _ODD_BLANK.search(text) else text.split(" ")
+        single = len(text.split()) == text.count(" ") + text.count("\n") + 1  # no white space next to other white space
+        head, *tail = text.split(" ") if single else _SAFE_BLANK.split(text)
         return (piece(head) if head else b"") + b"".join([known(p) or piece(p, " ") for p in tail])
 
 
