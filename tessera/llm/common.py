@@ -55,6 +55,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 LOWER_ASCII = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Gaps between words of letters and digits; bytes of other scripts count as letters.
+IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 _rng = np.random.default_rng(20240607)
 BYTE_CODES = _rng.integers(1, 1 << 64, (2, 256), np.uint64, endpoint=False) | np.uint64(1)
@@ -100,15 +102,14 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(texts: list[bytes], piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the lower-cased (A-Z) texts as 64-bit hashes.
+def words_in(data: bytes, is_gap: np.ndarray, prefixes: tuple[int, ...] = (), piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words of ``data``, words being runs of bytes that ``is_gap`` does not mark.
 
-    Returns (bounds, hashes): the words of text i are ``hashes[bounds[i]:bounds[i + 1]]``. Long inputs are
-    worked off in pieces that end at white space, so that memory stays bounded.
+    With ``prefixes`` the hashes have a further column for each number of bytes: of that beginning of the word, or 0 where the
+    word isn't longer.
+    Long inputs are worked off in pieces that end at a blank (a gap), so that memory stays bounded.
     """
-    data = b" ".join(texts).translate(LOWER_ASCII)
     all_bytes = np.frombuffer(data, np.uint8)
-    ends_of_text = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64)) if texts else np.zeros(0, np.int64)
     hashes, where, start = [], [], 0
     while start < len(data):
         end = min(start + piece, len(data))
@@ -118,14 +119,33 @@ def word_hashes(texts: list[bytes], piece: int = 1 << 20) -> tuple[np.ndarray, n
                 cut = data.find(b" ", end)
             end = len(data) if cut < 0 else cut + 1
         part = all_bytes[start:end]
-        edge = np.diff(np.concatenate([[False], ~IS_SPACE[part], [False]]).astype(np.int8))
+        edge = np.diff(np.concatenate([[False], ~is_gap[part], [False]]).astype(np.int8))
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        hashes.append(range_hashes(prefix_sums(part), first, last))
+        sums = prefix_sums(part)
+        h = range_hashes(sums, first, last)
+        if prefixes:
+            short = [np.where(last - first > n, range_hashes(sums, first, np.minimum(first + n, last)), np.uint64(0)) for n in prefixes]
+            h = np.stack([h, *short], axis=1)
+        hashes.append(h)
         where.append(first + start)
         start = end
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    h = np.concatenate(hashes) if hashes else np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64)
     at = np.concatenate(where) if where else np.zeros(0, np.int64)
-    return np.concatenate([[0], np.searchsorted(at, ends_of_text)]).astype(np.int64), h
+    return at.astype(np.int64), h
+
+
+def text_bounds(texts: list[bytes]) -> np.ndarray:
+    """Start of each text, and the end, when the texts are joined by one byte."""
+    return np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+
+
+def word_hashes(texts: list[bytes], is_gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the lower-cased (A-Z) texts as 64-bit hashes; by default words are ``[^\\x20\\x09-\\x0D]+``.
+
+    Returns (bounds, hashes): the words of text i are ``hashes[bounds[i]:bounds[i + 1]]``.
+    """
+    at, h = words_in(b" ".join(texts).translate(LOWER_ASCII), is_gap)
+    return np.searchsorted(at, text_bounds(texts)).astype(np.int64), h
 
 
 def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, line_dedup, near_dups, token_files
+from tessera.llm import chat, fingerprints, line_dedup, near_dups, token_files, toxicity
 from tessera.llm.catalog import ORACLES, QUERIES, query, table, vocabulary
 from tessera.llm.common import new_folder
 from tessera.llm.packing import pack_documents
@@ -53,3 +53,11 @@ def op5(spark, base):
 def op4(spark, base):
     rows = near_dups.near_duplicates(table(spark, base, "documents"), width=2, share=80)
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op7_multiple_instance_toxicity")
+def op7(spark, base):
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    weights = toxicity.train(docs, table(spark, base, "labels"))
+    scored = toxicity.score_documents(docs, weights)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
