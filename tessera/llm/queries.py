@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, line_dedup, near_dups, token_files, toxicity
+from tessera.llm import chat, decontamination, fingerprints, line_dedup, near_dups, token_files, toxicity
 from tessera.llm.catalog import ORACLES, QUERIES, query, table, vocabulary
 from tessera.llm.common import new_folder
 from tessera.llm.packing import pack_documents
@@ -61,3 +61,8 @@ def op7(spark, base):
     weights = toxicity.train(docs, table(spark, base, "labels"))
     scored = toxicity.score_documents(docs, weights)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+
+
+@query("op1_spaced_seed_decontamination")
+def op1(spark, base):
+    return decontamination.contaminated_items(table(spark, base, "documents"), table(spark, base, "benchmark"))
