@@ -34,7 +34,7 @@ def seeds(tokens: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np
         if len(tokens) < len(mask):
             continue
         n = len(tokens) - len(mask) + 1
-        total = np.full(n, np.uint64(number + 1) * np.uint64(0xD6E8FEB86659FD93))
+        total = np.full(n, _CODES[63 - number])
         for o, bit in enumerate(mask):
             if bit == "1":
                 total += products[o][o : o + n]
