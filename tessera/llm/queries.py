@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, fingerprints, line_dedup, near_dups, token_files, toxicity
+from tessera.llm import chat, decontamination, fingerprints, line_dedup, near_dups, repeats, token_files, toxicity
 from tessera.llm.catalog import ORACLES, QUERIES, query, table, vocabulary
 from tessera.llm.common import new_folder
 from tessera.llm.packing import pack_documents
@@ -66,3 +66,9 @@ def op7(spark, base):
 @query("op1_spaced_seed_decontamination")
 def op1(spark, base):
     return decontamination.contaminated_items(table(spark, base, "documents"), table(spark, base, "benchmark"))
+
+
+@query("op6_suffix_family_repeats")
+def op6(spark, base):
+    rows = repeats.remove_repeats(table(spark, base, "documents"), length=200)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
