@@ -257,13 +257,11 @@ def stage_counts(identities: DataFrame) -> DataFrame:
     return stage_dimension(identities).join(n, "stage", "left").select("ordinal", "stage", F.coalesce("n", F.lit(0)).alias("identities"))
 
 
-def mean_time_to_ready(log: DataFrame, rows: int = 100) -> DataFrame:
-    """Mean duration in whole seconds over the newest ``rows`` arrivals at the last stage."""
-    newest = (
-        log.filter((F.col("to_stage") == STAGES[-1]) & F.col("duration_ms").isNotNull())
-        .orderBy(F.desc("created_at"), F.desc("log_id"))
-        .limit(rows)
-    )
+def mean_time_to_ready(log: DataFrame, rows: int | None = None) -> DataFrame:
+    """Mean duration in whole seconds over all arrivals at the last stage, or over the newest ``rows`` of them."""
+    newest = log.filter((F.col("to_stage") == STAGES[-1]) & F.col("duration_ms").isNotNull())
+    if rows is not None:
+        newest = newest.orderBy(F.desc("created_at"), F.desc("log_id")).limit(rows)
     mean = F.coalesce(F.avg("duration_ms"), F.lit(0.0))
     return newest.agg(round_half_up(mean / 1000).alias("avg_discovery_time_sec"), F.count(F.lit(1)).alias("log_rows"))
 

@@ -301,10 +301,10 @@ def site_contacts(contacts: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def site_documents(page_texts: DataFrame, max_chars: int = 20000, salts: int = 32) -> DataFrame:
-    """One row per site: page count, word count, and its pages' text in page order up to the text budget.
+def site_documents(page_texts: DataFrame, max_chars: int | None = None, salts: int = 32) -> DataFrame:
+    """One row per site: page count, word count, and its pages' whole text in page order, or up to a budget of ``max_chars``.
 
-    A page can only reach the budget if the pages before it do not fill it. That is first tested
+    A page can only reach a budget if the pages before it do not fill it. That is first tested
     within (site, salt), where less text comes before than in the whole site, so no needed page is
     lost and at most ``salts`` budgets of text per site are left for the final order.
     """
@@ -313,6 +313,10 @@ def site_documents(page_texts: DataFrame, max_chars: int = 20000, salts: int = 3
         F.count(F.lit(1)).alias("pages"),
         F.sum(F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " ")))).alias("words"),
     )
+    if max_chars is None:
+        whole = t.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("page_id", "text"))).alias("parts"))
+        joined = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
+        return counts.join(whole, "site").select("site", "pages", "words", joined.alias("raw_text"))
     salted = Window.partitionBy("site", "salt").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
     near = (
         t.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)))

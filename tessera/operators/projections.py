@@ -113,12 +113,13 @@ def quality_rule_table(df: DataFrame, rules=QUALITY_RULES) -> DataFrame:
 def quality_by_rules(records: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(record_id, source, rule_score) from a table of (source, field, points).
 
-    The rules of a source are folded into one map, so each record meets one row and is never exploded.
+    The rules of a source are folded into one map, so each record meets one row and is never exploded. A source without
+    rules scores 0; only a source with a ``cap`` rule is capped.
     """
     table = quality_rule_table(records) if rules is None else rules
     folded = table.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("field", "points"))).alias("rule"))
     fields = [r for r in ("raw_website", "raw_phone", "raw_email", "raw_address", "raw_rating", "category", "gstin", "cin") if r in records.columns]
-    scored = records.join(F.broadcast(folded), "source")
+    scored = records.join(F.broadcast(folded), "source", "left")
 
     def worth(name: str) -> Column:
         return F.coalesce(F.try_element_at("rule", F.lit(name)), F.lit(0))
@@ -126,7 +127,7 @@ def quality_by_rules(records: DataFrame, rules: DataFrame | None = None) -> Data
     total = worth("base")
     for f in fields:
         total = total + F.when(present(f), worth(f)).otherwise(0)
-    total = F.least(total, F.coalesce(F.try_element_at("rule", F.lit("cap")), F.lit(1000)))
+    total = F.least(total, F.try_element_at("rule", F.lit("cap")))  # null (no cap) is passed over
     return scored.select("record_id", "source", total.cast("int").alias("rule_score"))
 
 

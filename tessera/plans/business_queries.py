@@ -713,8 +713,8 @@ def _(t):
 
 @query(
     "agg_11_mean_time_to_ready",
-    """select cast(floor(avg(duration_ms) / 1000 + 0.5) as int) as avg_discovery_time_sec, count(*) as log_rows from (
-  select duration_ms from stage_log where to_stage = 'READY_FOR_ANALYSIS' and duration_ms is not null order by created_at desc, log_id desc limit 100)""",
+    """select cast(floor(avg(duration_ms) / 1000 + 0.5) as int) as avg_discovery_time_sec, count(*) as log_rows
+  from stage_log where to_stage = 'READY_FOR_ANALYSIS' and duration_ms is not null""",
 )
 def _(t):
     return agg.mean_time_to_ready(t.stage_log)

@@ -200,14 +200,14 @@ def _(t):
 @query(
     "agg_18_site_documents",
     rf"""
-with x as (select page_id, {sql_host("url")} as site, trim(regexp_replace(regexp_extract(html, $$(?is)<title[^>]*>(.*?)</title>$$, 1), '\s+', ' ', 'g')) as text from pages)
-select site, count(*) as pages, cast(sum(case when text = '' then 0 else len(string_split(text, ' ')) end) as bigint) as words, substr(string_agg(text, ' ' order by page_id), 1, 300) as raw_text
+with x as (select page_id, {sql_host("url")} as site, trim(regexp_replace(regexp_replace(html, $$(?s)<[^>]*>$$, ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as text from pages)
+select site, count(*) as pages, cast(sum(case when text = '' then 0 else len(string_split(text, ' ')) end) as bigint) as words, string_agg(text, ' ' order by page_id) as raw_text
 from x group by site
 """,
 )
 def _(t):
-    title = F.trim(F.regexp_replace(F.regexp_extract("html", TITLE, 1), r"\s+", " "))
-    return ext.site_documents(t.pages.select("page_id", "url", title.alias("text")), max_chars=300)
+    text = F.trim(F.regexp_replace(F.regexp_replace("html", r"(?s)<[^>]*>", " "), r"[ \t\r\n]+", " "))
+    return ext.site_documents(t.pages.select("page_id", "url", text.alias("text")))
 
 
 def _documents(t):

@@ -203,12 +203,13 @@ def _rule_points(source: str) -> str:
 @query(
     "prj_03_quality_by_rules",
     f"""
-select record_id, source, cast(case source {" ".join(_rule_points(s) for s in ("google_maps", "justdial", "duckduckgo", "mca"))} end as int)
-  as rule_score from discovery_results
+select record_id, source, cast(case source {" ".join(_rule_points(s) for s in ("google_maps", "justdial", "duckduckgo", "mca"))} else 0 end as int)
+  as rule_score from (select * replace (case when record_id % 7 = 3 then 'grotal' else source end as source) from discovery_results)
 """,
 )
 def _(t):
-    return prj.quality_by_rules(t.discovery_results)
+    other = F.when(F.col("record_id") % 7 == 3, "grotal").otherwise(F.col("source"))  # a source without rules is in the feed too
+    return prj.quality_by_rules(t.discovery_results.withColumn("source", other))
 
 
 @query(
@@ -800,22 +801,26 @@ def _split_batches(t):
     return old, t.discovery_results.filter("source = 'justdial' or source = 'duckduckgo'")
 
 
-@query(
-    "jon_04_match_existing",
-    f"""
-with r as (select record_id, {sql_phone("raw_phone")} as p, {sql_host("raw_website")} as h, lower(trim(raw_name)) as n from discovery_results where source <> 'google_maps'),
+_MATCHES = f"""
+with r as (select record_id, {sql_phone("raw_phone")} as p, {sql_host("raw_website")} as h, lower(trim(raw_name)) as n from discovery_results),
 c as (select company_id, {sql_phone("phone")} as p, {sql_host("website_url")} as h, lower(trim(name)) as n from companies),
 m as (
   select r.record_id, c.company_id, 1.0::double as confidence, 'Exact Phone Match' as reason from r join c on r.p = c.p
   union all select r.record_id, c.company_id, 0.9::double, 'Exact Domain Match' from r join c on r.h = c.h where r.p is distinct from c.p or r.p is null
   union all select r.record_id, c.company_id, 1 - levenshtein(r.n, c.n) / greatest(length(r.n), length(c.n))::double, 'Fuzzy Name Match'
     from r join c on abs(length(r.n) - length(c.n)) <= 6 where (r.p is distinct from c.p or r.p is null) and (r.h is distinct from c.h or r.h is null)
-      and 20 * levenshtein(r.n, c.n) <= 3 * greatest(length(r.n), length(c.n)))
+      and 20 * levenshtein(r.n, c.n) <= 3 * greatest(length(r.n), length(c.n)))"""
+
+
+@query(
+    "jon_04_match_existing",
+    f"""
+{_MATCHES}
 select record_id, company_id, confidence, reason from (select *, row_number() over (partition by record_id order by confidence desc, company_id) as rn from m) where rn = 1
 """,
 )
 def _(t):
-    return res.match_existing(t.discovery_results.filter("source <> 'google_maps'"), t.companies)
+    return res.match_existing(t.discovery_results, t.companies)
 
 
 def _known_identities(t):
@@ -863,23 +868,18 @@ def _(t):
 
 @query("ent_08_ingest_results")
 def _(t):
-    return res.ingest_results(t.discovery_results.filter("source <> 'google_maps'"), t.companies)
+    return res.ingest_results(t.discovery_results, t.companies)
 
 
 @query(
     "agg_19_skip_reasons",
     f"""
-with r as (select record_id, {sql_phone("raw_phone")} as p, {sql_host("raw_website")} as h from discovery_results where source <> 'google_maps'),
-c as (select company_id, {sql_phone("phone")} as p, {sql_host("website_url")} as h from companies)
-select reason, count(*) as n from (
-  select record_id, case when bool_or(r.p = c.p) then 'Exact Phone Match' else 'Exact Domain Match' end as reason
-  from r join c on r.p = c.p or r.h = c.h group by record_id) group by reason
+{_MATCHES}
+select reason, count(*) as n from (select *, row_number() over (partition by record_id order by confidence desc, company_id) as rn from m) where rn = 1 group by reason
 """,
 )
 def _(t):
-    # only exact matches, so that the twin needs no distances
-    r = t.discovery_results.filter("source <> 'google_maps'").withColumn("raw_name", F.lit(None).cast("string"))
-    matched = res.match_existing(r, t.companies).withColumn("result_type", F.lit("EXISTING"))
+    matched = res.match_existing(t.discovery_results, t.companies).withColumn("result_type", F.lit("EXISTING"))
     return res.skip_reasons(matched)
 
 

@@ -1,6 +1,7 @@
 """Session settings the jobs rely on, and reliable checkpoints."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,14 +26,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir`` (or set on the context).
 
-    Only where neither names one (tests, laptops) a temporary folder is made, because a
-    machine-local folder would not survive a lost executor.
+    Only where neither names one and the session is local (tests, laptops) a temporary folder is made; on a cluster that is
+    an error, because a machine-local folder is not shared and would not survive a lost executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()

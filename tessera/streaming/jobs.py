@@ -74,9 +74,12 @@ def stage_state(log: DataFrame) -> DataFrame:
     )
 
 
-def dedup_events(events: DataFrame, delay: str = "7 days") -> DataFrame:
-    """One row per event id; on a stream within the watermark."""
-    if events.isStreaming:
+def dedup_events(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """One row per event id, however late its copies come.
+
+    On a stream the ids seen are kept in the state store; a ``delay`` bounds them, but then rows later than it are dropped.
+    """
+    if events.isStreaming and delay:
         return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     return events.dropDuplicates(["event_id"])
 
@@ -91,10 +94,10 @@ def campaign_counters(events: DataFrame) -> DataFrame:
     )
 
 
-def unique_opens(events: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Messages opened at least once per campaign."""
+def unique_opens(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """Messages opened at least once per campaign; late rows count unless a ``delay`` is set."""
     opens = events.filter("kind = 'opened'")
-    if opens.isStreaming:
+    if opens.isStreaming and delay:
         firsts = opens.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["campaign_id", "message_id"])
     else:
         firsts = opens.dropDuplicates(["campaign_id", "message_id"])
@@ -112,12 +115,15 @@ def replied_enrollments(enrollments: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def pause_on_reply(sent: DataFrame, replies: DataFrame, days: int = 30) -> DataFrame:
-    """Replies joined to the messages they answer, stream to stream, within ``days`` of sending."""
-    s = sent.withWatermark("ts", "1 day").select(
-        F.col("message_id"), "campaign_id", "contact_id", F.col("ts").alias("sent_ts")
-    )
-    r = replies.withWatermark("ts", "1 day").select(F.col("message_id").alias("reply_to"), F.col("ts").alias("reply_ts"))
+def pause_on_reply(sent: DataFrame, replies: DataFrame, days: int = 30, delay: str | None = None) -> DataFrame:
+    """Replies joined to the messages they answer, stream to stream, within ``days`` of sending.
+
+    No arrival is too late unless a ``delay`` is set, which bounds the state.
+    """
+    if delay:
+        sent, replies = sent.withWatermark("ts", delay), replies.withWatermark("ts", delay)
+    s = sent.select(F.col("message_id"), "campaign_id", "contact_id", F.col("ts").alias("sent_ts"))
+    r = replies.select(F.col("message_id").alias("reply_to"), F.col("ts").alias("reply_ts"))
     on = F.expr(f"message_id = reply_to and reply_ts >= sent_ts and reply_ts <= sent_ts + interval '{days}' day")
     return s.join(r, on).select("campaign_id", "contact_id", "message_id", "reply_ts", F.lit("replied").alias("status"))
 
@@ -147,9 +153,9 @@ def progress_stream(events: DataFrame) -> DataFrame:
     )
 
 
-def per_minute(events: DataFrame, ts: str = "ts", delay: str = "24 hours") -> DataFrame:
-    """Events per minute and kind; a day of late arrivals is accepted."""
-    e = events.withWatermark(ts, delay) if events.isStreaming else events
+def per_minute(events: DataFrame, ts: str = "ts", delay: str | None = None) -> DataFrame:
+    """Events per minute and kind; late arrivals count unless a ``delay`` is set, which bounds the state."""
+    e = events.withWatermark(ts, delay) if events.isStreaming and delay else events
     return e.groupBy(F.window(ts, "1 minute").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events")).select(
         F.col("w.start").alias("minute"), "event_type", "events"
     )
