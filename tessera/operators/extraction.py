@@ -154,7 +154,7 @@ def extract_contacts(texts: DataFrame, key: str = "doc_id", text: str = "text")
     whatsapp = F.regexp_extract_all(
         t, F.lit(r"(?i)(?:wa\.me/|whatsapp[^\S\n]*:?[^\S\n]*(?=\+?[0-9][0-9\s\-]{7,15}))(\+?[0-9][0-9\s\-]*)"), 1
     )
-    first_wa = F.transform(F.slice(whatsapp, 1, 1), lambda w: F.regexp_replace(w, r"\s", ""))
+    numbers = F.transform(whatsapp, lambda w: F.regexp_replace(w, r"\s", ""))
 
     def tagged(kind: str, values: Column) -> Column:
         return F.transform(
@@ -162,16 +162,17 @@ def extract_contacts(texts: DataFrame, key: str = "doc_id", text: str = "text")
         )
 
     # one scan and one explode for all kinds
-    found = F.concat(tagged("email", emails), tagged("phone", phones), tagged("whatsapp", first_wa))
+    found = F.concat(tagged("email", emails), tagged("phone", phones), tagged("whatsapp", numbers))
     rows = texts.select(key, F.explode(found).alias("c")).select(key, "c.*")
     local = F.split_part(F.col("value"), F.lit("@"), F.lit(1))
     cls = F.when(F.col("kind") == "email", F.when(local.isin(*rules.GENERIC_EMAILS), "generic").otherwise("personal"))
     return rows.select(key, "kind", "value", cls.alias("class"), "pos")
 
 
-def extract_addresses(texts: DataFrame, key: str = "page_id", text: str = "text", n: int = 3) -> DataFrame:
-    """The first ``n`` street addresses of every text."""
-    found = F.slice(F.regexp_extract_all(F.col(text), F.lit(rules.ADDRESS_PATTERN), 0), 1, n)
+def extract_addresses(texts: DataFrame, key: str = "page_id", text: str = "text", n: int | None = None) -> DataFrame:
+    """All street addresses of every text, or the first ``n``."""
+    found = F.regexp_extract_all(F.col(text), F.lit(rules.ADDRESS_PATTERN), 0)
+    found = found if n is None else F.slice(found, 1, n)
     return texts.select(key, F.posexplode(found).alias("pos", "address"))
 
 
@@ -543,6 +544,7 @@ def section_type(e: Column) -> Column:
     )
 
 
+# Section kinds, labels and word lists that results depend on, in natural order.
 PROFILE_SECTIONS = ("TEAM_SECTION", "LEADERSHIP_SECTION", "PROFILE_CARD", "AUTHOR_CARD", "TESTIMONIAL_CARD")
 SECTION_LABELS = (
     "about author", "author", "about the author", "meet the team", "leadership", "management", "team member", "profile", "bio",

@@ -89,7 +89,7 @@ def _(t):
 @query(
     "ext_05_addresses",
     f"""select doc_id, cast(i - 1 as int) as pos, address from (select doc_id, unnest(regexp_extract_all(text, $${rules.ADDRESS_PATTERN}$$, 0)) as address,
-  generate_subscripts(regexp_extract_all(text, $${rules.ADDRESS_PATTERN}$$, 0), 1) as i from documents) where i <= 3""",
+  generate_subscripts(regexp_extract_all(text, $${rules.ADDRESS_PATTERN}$$, 0), 1) as i from documents)""",
 )
 def _(t):
     return ext.extract_addresses(t.documents, "doc_id", "text")

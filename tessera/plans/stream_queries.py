@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import resolution as res
+from tessera.operators.aggregates import with_health
 from tessera.plans.business_queries import _attempts, _component_events, _progress
 from tessera.plans.catalog import ORACLES, query
 from tessera.plans.views import VIEWS, inputs_of
@@ -105,6 +106,22 @@ def _(t):
     return run_to_end(jobs.campaign_counters(StreamTables(t).message_events), "complete")
 
 
+@query(
+    "str_03_unique_opens_stream",
+    "select campaign_id, count(distinct message_id) as unique_opens from message_events where kind = 'opened' group by 1",
+)
+def _(t):
+    return run_to_end(jobs.unique_opens(StreamTables(t).message_events), "complete")
+
+
+def _provider_stream(t):
+    totals = run_to_end(jobs.provider_stream(StreamTables(t).search_log), "complete")
+    return with_health(totals, F.lit("2024-01-30 23:59:00").cast("timestamp")).drop("is_healthy")
+
+
+_stream("str_05_provider_stream", "agg_10_provider_health", _provider_stream)
+
+
 @query(
     "str_04_pause_on_reply_stream",
     """select s.campaign_id, s.contact_id, s.message_id, r.ts as reply_ts, 'replied' as status from message_events s join message_events r on s.message_id = r.message_id

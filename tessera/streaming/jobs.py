@@ -20,6 +20,7 @@ NEXT_STAGE = {
     "CONFIDENCE_EVALUATED": "ADAPTIVE_ENRICHMENT",
     "ADAPTIVE_ENRICHMENT": "CONTACTS_EXTRACTED",
 }
+# The stage that a resumed identity goes back to.
 PREVIOUS_STAGE = {
     "IDENTITY_RESOLVED": "DISCOVERED",
     "WEBSITE_SELECTED": "IDENTITY_RESOLVED",
