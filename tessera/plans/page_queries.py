@@ -86,34 +86,55 @@ def _(t):
     return ext.site_contacts(found, t.pages)
 
 
+#: Markup appended to the given pages, picked by page_id, so that the rules below meet something: addresses, profiles, products.
+SNIPPETS = (
+    "",
+    '<p>12, Park Road near the market</p><p>7 Lake View Street, Pune</p><p>call 5</p>',
+    '<a href="https://www.facebook.com/acme">f</a><a href="https://instagram.com/acme.co">i</a>',
+    '<a href="https://facebook.com/sharer?u=1">share</a><a href="https://x.com/acme">x</a>',
+    '<a href="https://www.linkedin.com/company/acme">l</a><a href="https://youtube.com/@acme">y</a>',
+    '<link href="/wp-content/a.css"><script src="/jquery.min.js"></script>',
+    '<div id="__next_data__" class="tw-flex"></div><script src="https://cdn.shopify.com/a.js"></script>',
+)
+_PICK = " ".join(f"when {i} then $${x}$$" for i, x in enumerate(SNIPPETS))
+SNIPPED = f"(select * replace (html || case page_id % {len(SNIPPETS)} {_PICK} end as html) from pages)"
+
+
+def _snipped(t):
+    """The given pages, each with one snippet appended."""
+    pick = F.get(F.array(*[F.lit(x) for x in SNIPPETS]), (F.col("page_id") % len(SNIPPETS)).cast("int"))
+    return t.pages.withColumn("html", F.concat("html", pick))
+
+
 @query(
     "ext_05_addresses",
-    f"""select doc_id, cast(i - 1 as int) as pos, address from (select doc_id, unnest(regexp_extract_all(text, $${rules.ADDRESS_PATTERN}$$, 0)) as address,
-  generate_subscripts(regexp_extract_all(text, $${rules.ADDRESS_PATTERN}$$, 0), 1) as i from documents)""",
+    f"""select page_id, cast(i - 1 as int) as pos, address from (select page_id, unnest(regexp_extract_all(html, $${rules.ADDRESS_PATTERN}$$, 0)) as address,
+  generate_subscripts(regexp_extract_all(html, $${rules.ADDRESS_PATTERN}$$, 0), 1) as i from {SNIPPED})""",
 )
 def _(t):
-    return ext.extract_addresses(t.documents, "doc_id", "text")
+    return ext.extract_addresses(_snipped(t), "page_id", "html")
 
 
 @query(
     "ext_06_social_profiles",
     " union all ".join(
-        f"select page_id, '{n}' as network, regexp_extract(html, $${p.replace('(?!sharer)', '')}$$, 0) as link from pages where regexp_matches(html, $${p.replace('(?!sharer)', '')}$$)"
+        # a share link of the one rule that excludes it is taken out of the markup first
+        f"select page_id, '{n}' as network, regexp_extract(h, $${p.replace('(?!sharer)', '')}$$, 0) as link from (select page_id, replace(html, 'facebook.com/sharer', '') as h from {SNIPPED}) where regexp_matches(h, $${p.replace('(?!sharer)', '')}$$)"
         for n, p in rules.SOCIAL_PATTERNS.items()
     ),
 )
 def _(t):
-    return ext.social_profiles(t.pages)
+    return ext.social_profiles(_snipped(t))
 
 
 @query(
     "ext_07_detect_technology",
-    f"select site, technology, 85 as confidence, count(*) as pages from (select {sql_host('url')} as site, html, unnest({list(rules.TECH_SIGNATURES)!r}) as technology from pages) where "
+    f"select site, technology, 85 as confidence, count(*) as pages from (select {sql_host('url')} as site, html, unnest({list(rules.TECH_SIGNATURES)!r}) as technology from {SNIPPED}) where "
     + " or ".join(f"(technology = '{n}' and {sql_any('lower(html)', words)})" for n, words in rules.TECH_SIGNATURES.items())
     + " group by 1, 2",
 )
 def _(t):
-    return ext.detect_technology(t.pages)
+    return ext.detect_technology(_snipped(t))
 
 
 @query(
