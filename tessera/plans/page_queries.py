@@ -31,12 +31,34 @@ DESCRIPTION = r"""(?is)<meta[^>]*name=["']description["'][^>]*content=["']([^"']
 HREF = r"""(?is)<a\s[^>]*?href=["']([^"']*)["']"""
 
 
+#: Markup appended to the given pages, picked by page_id, so that the rules below meet something: addresses, profiles, products.
+SNIPPETS = (
+    "",
+    '<p>12, Park Road near the market</p><p>7 Lake View Street, Pune</p><p>call 5</p>',
+    '<a href="https://www.facebook.com/acme">f</a><a href="https://instagram.com/acme.co">i</a>',
+    '<a href="https://facebook.com/sharer?u=1">share</a><a href="https://x.com/acme">x</a>',
+    '<a href="https://www.linkedin.com/company/acme">l</a><a href="https://youtube.com/@acme">y</a>',
+    '<link href="/wp-content/a.css"><script src="/jquery.min.js"></script>',
+    '<div id="__next_data__" class="tw-flex"></div><script src="https://cdn.shopify.com/a.js"></script>',
+    '<script type="application/ld+json">{"@type": "Organization", "name": "Acme"}</script>',
+    '<a href="/about-us">About</a><a href="/our-services">Services</a><a href="/contact">Contact</a>',
+)
+_PICK = " ".join(f"when {i} then $${x}$$" for i, x in enumerate(SNIPPETS))
+SNIPPED = f"(select * replace (html || case page_id % {len(SNIPPETS)} {_PICK} end as html) from pages)"
+
+
+def _snipped(t):
+    """The given pages, each with one snippet appended."""
+    pick = F.get(F.array(*[F.lit(x) for x in SNIPPETS]), (F.col("page_id") % len(SNIPPETS)).cast("int"))
+    return t.pages.withColumn("html", F.concat("html", pick))
+
+
 @query(
     "src_08_page_json_ld",
-    "select page_id, 1 as pos from pages where regexp_matches(html, '(?is)<script[^>]*type=[\"'']application/ld\\+json') ",
+    f"select page_id, 1 as pos from {SNIPPED} where regexp_matches(html, '(?is)<script[^>]*type=[\"'']application/ld\\+json') ",
 )
 def _(t):
-    return ext.parse_json_ld(ext.page_meta(t.pages)).select("page_id", (F.col("pos") + 1).alias("pos"))
+    return ext.parse_json_ld(ext.page_meta(_snipped(t))).select("page_id", (F.col("pos") + 1).alias("pos"))
 
 
 @query("ext_01_clean_pages")
@@ -86,26 +108,6 @@ def _(t):
     return ext.site_contacts(found, t.pages)
 
 
-#: Markup appended to the given pages, picked by page_id, so that the rules below meet something: addresses, profiles, products.
-SNIPPETS = (
-    "",
-    '<p>12, Park Road near the market</p><p>7 Lake View Street, Pune</p><p>call 5</p>',
-    '<a href="https://www.facebook.com/acme">f</a><a href="https://instagram.com/acme.co">i</a>',
-    '<a href="https://facebook.com/sharer?u=1">share</a><a href="https://x.com/acme">x</a>',
-    '<a href="https://www.linkedin.com/company/acme">l</a><a href="https://youtube.com/@acme">y</a>',
-    '<link href="/wp-content/a.css"><script src="/jquery.min.js"></script>',
-    '<div id="__next_data__" class="tw-flex"></div><script src="https://cdn.shopify.com/a.js"></script>',
-)
-_PICK = " ".join(f"when {i} then $${x}$$" for i, x in enumerate(SNIPPETS))
-SNIPPED = f"(select * replace (html || case page_id % {len(SNIPPETS)} {_PICK} end as html) from pages)"
-
-
-def _snipped(t):
-    """The given pages, each with one snippet appended."""
-    pick = F.get(F.array(*[F.lit(x) for x in SNIPPETS]), (F.col("page_id") % len(SNIPPETS)).cast("int"))
-    return t.pages.withColumn("html", F.concat("html", pick))
-
-
 @query(
     "ext_05_addresses",
     f"""select page_id, cast(i - 1 as int) as pos, address from (select page_id, unnest(regexp_extract_all(html, $${rules.ADDRESS_PATTERN}$$, 0)) as address,
@@ -191,9 +193,9 @@ def _(t):
     return top_n_per(fit, ["page_id"], [F.length("link").asc(), F.asc("link")], 2, rank="rank")
 
 
-@query("ext_20_about_links", f"with {_LINKS} select page_id, link, cast(rank as int) as rank from (select page_id, link, row_number() over (partition by page_id order by length(link), link) as rank from links where {_INTERNAL} and regexp_matches(link, 'about|service|solution|practice-areas')) where rank <= 2")
+@query("ext_20_about_links", f"with {_LINKS.replace('from pages', 'from ' + SNIPPED)} select page_id, link, cast(rank as int) as rank from (select page_id, link, row_number() over (partition by page_id order by length(link), link) as rank from links where {_INTERNAL} and regexp_matches(link, 'about|service|solution|practice-areas')) where rank <= 2")
 def _(t):
-    return ext.audit_pages_pick(ext.page_links(t.pages))
+    return ext.audit_pages_pick(ext.page_links(_snipped(t)))
 
 
 @query("ext_10_person_candidates")
@@ -463,8 +465,12 @@ def _(t):
 
 @query(
     "ent_14_vector_duplicates",
-    """select a.vec_id as id, min(b.vec_id) as duplicate_of from embeddings a join embeddings b on b.vec_id < a.vec_id
+    """with e as (select vec_id, embedding::double[] as embedding from embeddings union all
+    select vec_id + 1000000, list_transform(embedding, lambda x: 2 * x::double) from embeddings where vec_id % 5 = 0)
+  select a.vec_id as id, min(b.vec_id) as duplicate_of from e a join e b on b.vec_id < a.vec_id
   where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.92 group by 1""",
 )
 def _(t):
-    return vectors.vector_duplicates(_vectors(t))
+    own = _vectors(t)  # every fifth vector comes again at twice its length
+    again = own.filter("id % 5 = 0").select((F.col("id") + 1000000).alias("id"), F.transform("vec", lambda x: x + x).alias("vec"))
+    return vectors.vector_duplicates(own.unionByName(again))
