@@ -58,24 +58,30 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> np.ndarray:
     """Weights of all features and, last, the bias: Adam steps on the noisy-or likelihood, with soft thresholding."""
-    features, words, docs, _ = sentences(texts)
-    y, n, width = labels.astype(bool), len(texts), features.shape[1]
-    owner = np.repeat(np.arange(n), np.diff(words[docs]) * width)
-    once = np.unique(owner * (FEATURES + 1) + features.ravel())
-    column, toxic = once % (FEATURES + 1), y[once // (FEATURES + 1)]
-    with_, without = np.bincount(column[toxic], minlength=FEATURES + 1), np.bincount(column[~toxic], minlength=FEATURES + 1)
+    y, n, width = labels.astype(bool), len(texts), 1 + len(PREFIXES)
+    with_, without = np.zeros(FEATURES + 1, np.int64), np.zeros(FEATURES + 1, np.int64)
+    for begin in range(0, n, 500):
+        features, words, docs, _ = sentences(texts[begin : begin + 500])
+        owner = np.repeat(np.arange(len(docs) - 1), np.diff(words[docs]) * width)
+        once = np.unique(owner * (FEATURES + 1) + features.ravel())
+        column, toxic = once % (FEATURES + 1), y[begin : begin + 500][once // (FEATURES + 1)]
+        with_ += np.bincount(column[toxic], minlength=FEATURES + 1)
+        without += np.bincount(column[~toxic], minlength=FEATURES + 1)
     share = (with_ + without) / n
     sure = with_ / max(1, y.sum()) - without / max(1, (~y).sum())
     spread = np.sqrt(share * (1 - share) * (1 / max(1, y.sum()) + 1 / max(1, (~y).sum())) + 1e-12)
     used = np.flatnonzero((with_ + without >= LEAST_DOCUMENTS) & (sure >= EVIDENCE * spread))
     used = used[used < FEATURES]
-    compact = np.full(FEATURES + 1, len(used))
+    compact = np.full(FEATURES + 1, len(used), np.int32)
     compact[used] = np.arange(len(used))
-    columns = compact[features].astype(np.int32)
-    told = (columns < len(used)).any(axis=1)  # words that say something
-    columns = columns[told]
-    words = np.concatenate([[0], np.cumsum(told)])[words]
-    lengths = np.diff(words)
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for begin in range(0, n, 500):
+        features, words, docs, _ = sentences(texts[begin : begin + 500])
+        told = compact[features]
+        says = (told < len(used)).any(axis=1)  # words that say something
+        kept.append((told[says], np.diff(np.concatenate([[0], np.cumsum(says)])[words]), np.diff(docs)))
+    columns, lengths, per_doc = (np.concatenate(x) for x in zip(*kept))
+    words, docs = (np.concatenate([[0], np.cumsum(x)]) for x in (lengths, per_doc))
     w, bias = np.zeros(len(used) + 1), PRIOR
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
