@@ -11,6 +11,7 @@ digits. Test items with fewer tokens than the shortest mask cannot be told from
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import IS_MARK, mix, ready, slices, word_hashes, written
 
 #: Fixed masks, 1: compared. They fit texts without changes for six tokens, with every second to fifth token changed, and mixtures.
+#: A stretch with every second token changed throughout has a share of 0.5 and is no overlap; its mask is for parts of a stretch.
+#: Of the 1287 ways to place 10 equal tokens in 15 (both ends equal), 736 hold a mask; a diagonal without any hit is not compared.
 MASKS = ("111111", "1110111", "1111011", "11011011", "1101110001", "10101010101", "1001011011")
 #: Bits of the bit table (as a power of two), equal tokens of an overlap at least, and their share at least.
 TABLE_BITS, LEAST_EQUAL, LEAST_SHARE = 26, 10, 0.65
@@ -143,22 +146,47 @@ def _suspects(docs: DataFrame, table: np.ndarray, bits: int = TABLE_BITS) -> Dat
     return written(out.select(F.monotonically_increasing_id().alias("row"), "*"))
 
 
+def _fullest(same: np.ndarray, least: int, up: int, down: int) -> tuple[int, int] | None:
+    """The stretch with the most equal places among all that pass; None if none does.
+
+    A stretch passes if its sum of ``up`` an equal and ``-down`` another place is not negative, so for each end the furthest
+    start is the first one whose running sum is not above that of the end: a search in the running minimum.
+    """
+    run = np.concatenate([[0], np.cumsum(np.where(same, up, -down))])
+    count = np.concatenate([[0], np.cumsum(same)])
+    start = np.searchsorted(-np.minimum.accumulate(run), -run, "left")
+    equal = count - count[start]
+    end = int(np.argmax(equal))
+    if equal[end] < least:
+        return None
+    inside = np.flatnonzero(same[start[end] : end]) + start[end]
+    return int(inside[0]), int(inside[-1]) + 1
+
+
 def overlaps(same: np.ndarray, least: int, share: float) -> list[tuple[int, int, int]]:
-    """(start, end, equal) of stretches with at least ``least`` equal places and that share of them, best first, apart."""
+    """(start, end, equal) of stretches with at least ``least`` equal places and that share of them, best first, apart.
+
+    Every stretch that passes is reported or meets a reported one. Each range gives the stretch with the greatest sum of
+    weights that are zero at the share (so it has the share); if that has too few equal places, any other that passes.
+    """
+    ratio = Fraction(share).limit_denominator(10**6)
+    up, down = ratio.denominator - ratio.numerator, ratio.numerator
     out, todo = [], [(0, len(same))]
     while todo:
         low, high = todo.pop()
         if int(same[low:high].sum()) < least:
             continue
-        run = np.concatenate([[0], np.cumsum(np.where(same[low:high], 1, -1))])
+        run = np.concatenate([[0], np.cumsum(np.where(same[low:high], up, -down))])
         gain = run - np.minimum.accumulate(run)
         end = int(np.argmax(gain))
         start = int(end - np.argmin(run[: end + 1][::-1]))
-        equal = int(same[low + start : low + end].sum())
-        if equal >= least and equal >= share * (end - start):
-            out.append((low + start, low + end, equal))
-        if end > start:
-            todo += [(low, low + start), (low + end, high)]
+        if int(same[low + start : low + end].sum()) < least:
+            other = _fullest(same[low:high], least, up, down)
+            if other is None:
+                continue
+            start, end = other
+        out.append((low + start, low + end, int(same[low + start : low + end].sum())))
+        todo += [(low, low + start), (low + end, high)]
     return sorted(out, key=lambda x: (-x[2], x[0]))
 
 
@@ -166,7 +194,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_equal: int = LEAST
     """Overlaps of documents with test items: doc_id, text_hash, item_id, start, length, equal (tokens of the document).
 
     ``docs`` needs ``doc_id`` and ``text``, ``benchmark`` ``item_id`` and ``text``. An overlap has ``least_equal`` equal tokens
-    (of an item with fewer tokens, four fifths of them) and a share of ``least_share`` of its length. Null and empty texts
+    (of an item with fewer tokens, four fifths of them) and a share of ``least_share`` of its length, on a diagonal with a hit. Null and empty texts
     overlap with nothing; documents without doc_id are reported under null; rows with equal doc_id and text are reported
     once; of equal items the smallest item_id stands for all. Empty tables give no rows.
     """

@@ -76,6 +76,24 @@ def test_stretches(same, least):
         assert got == [(0, len(same), len(same))]
 
 
+def passing(same, least):
+    """All intervals that pass, by the letter of the definition."""
+    ends = [0, *np.cumsum(same)]
+    return {(a, b) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if ends[b] - ends[a] >= least and 20 * (ends[b] - ends[a]) >= 13 * (b - a)}
+
+
+@given(st.integers(0, 2**32), st.integers(0, 90), st.sampled_from([0.5, 0.6, 0.7]), st.integers(1, 12))
+def test_each_passing_interval_meets_an_overlap(seed, n, share, least):
+    same = np.random.default_rng(seed).random(n) < share
+    want, got = passing(same, least), [x[:2] for x in dc.overlaps(same, least, 0.65)]
+    assert set(got) <= want and all(any(a < y and x < b for x, y in got) for a, b in want)
+
+
+def test_runs_inside_a_more_changed_copy():
+    same = np.array(([True] * 10 + [False] * 9) * 5 + [True] * 10)
+    assert sorted(dc.overlaps(same, 10, 0.65)) == [(19 * i, 19 * i + 10, 10) for i in range(6)]
+
+
 def test_empty_tables(spark):
     docs, bench, _ = cases(spark)
     assert dc.contaminated(no_documents(spark), bench).count() == 0
