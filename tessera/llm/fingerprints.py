@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-DataFrame functions only. A paragraph is a piece of text up to a line break or the end of certain sentences; a document is
-the set of its paragraphs' digests (48 bits and 16 check bits). A sketch has three rows of four cells; each digest enters
+DataFrame functions only. A paragraph is a piece of text up to a line break or the end of a sentence (by default of certain
+sentences only; the query takes SENTENCE_END); a document is the set of its paragraphs' digests (48 bits and 16 check bits). A sketch has three rows of four cells; each digest enters
 one cell of each row (cell: count and xor of its digests). Sketches of two versions are subtracted cell by cell; peeling then
 takes out digests that stand alone in a cell until nothing is left. If that fails, both sets are sketched larger: they are
 split by digest over so many sketches that each holds few differences, and a part that still fails is split by four again
@@ -25,6 +25,8 @@ PER_PART, ROUNDS, DEPTH = 3, 6, 19
 PARAGRAPH_END = r"\n|(?<=[aeiounr][.!?]) "
 #: How often a failing part is enlarged beside its row; what still fails then is worked on apart, over all rows.
 IN_ROW = 2
+#: Line breaks and every sentence end, in any script: a stop, with or without a closing mark, before a blank, or a full-width stop.
+SENTENCE_END = r"""\n|(?<=[.!?…؟।]) |(?<=[.!?…؟।]["'”’»)\]]) |(?<=[。！？]) ?"""
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -32,12 +34,12 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def digests(text: Column) -> Column:
+def digests(text: Column, paragraph_end: str = PARAGRAPH_END) -> Column:
     """The set of paragraph digests of a text; a null or empty text has none.
 
     A digest has 48 bits of a hash above 16 bits of check, which tell a digest from a mixture of several.
     """
-    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH_END), lambda p: p != "")
+    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), paragraph_end), lambda p: p != "")
     return F.array_distinct(F.transform(pieces, lambda p: _let(F.xxhash64(p).bitwiseAND(F.lit(~0xFFFF)), lambda h: h.bitwiseOR(_check(h)))))
 
 
@@ -227,7 +229,7 @@ def as_text(keys: Column, cells: Column) -> Column:
     )
 
 
-def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, blocks: int | None = None, paragraph_end: str = PARAGRAPH_END) -> DataFrame:
     """doc_id, text, cells and digests of each document, and ``next_*`` of the next one in descending doc_id.
 
     doc_id ranges between sampled ids of the table are worked on apart; the document at the head of a range is sent to the
@@ -261,7 +263,7 @@ def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
         .withColumn("_copy", F.explode(copies))
         .select("doc_id", "text", "_key", "_copy.*")
         .repartition(slots(spark), "block")
-        .withColumn("keys", digests(F.col("text")))
+        .withColumn("keys", digests(F.col("text"), paragraph_end))
         .withColumn("cells", sketch(F.col("keys")))
     )
     order = Window.partitionBy("block").orderBy("late", F.desc("_key"), F.xxhash64("text"), "text")
@@ -269,20 +271,20 @@ def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     return dealt.withColumn("next", ahead).filter("not ghost").select("doc_id", "text", "keys", "cells", "next")
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, paragraph_end: str = PARAGRAPH_END) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are.
 
     ``docs`` needs ``doc_id`` and ``text`` (null: empty). The edited text has its last third replaced by the head of the
-    next document. Equal texts have equal fingerprints; repeated rows each give a row; an empty table gives none.
+    next document. ``paragraph_end`` is the pattern that ends a paragraph (SENTENCE_END: each sentence is one). Equal texts have equal fingerprints; repeated rows each give a row; an empty table gives none.
     """
     ready(docs.sparkSession)
     if docs.isEmpty():
         docs = docs.limit(0)
     third = F.floor(F.length("text") / 3).cast("int")
-    edited = with_next(docs).withColumn(
+    edited = with_next(docs, paragraph_end=paragraph_end).withColumn(
         "edited", F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring(F.col("next.text"), F.lit(1), third))
     )
-    both = edited.withColumn("edited_keys", digests(F.col("edited"))).withColumn("edited_cells", sketch(F.col("edited_keys")))
+    both = edited.withColumn("edited_keys", digests(F.col("edited"), paragraph_end)).withColumn("edited_cells", sketch(F.col("edited_keys")))
     both = both.withColumn("next_keys", F.col("next.keys")).withColumn("next_cells", F.col("next.cells"))
     both = with_difference(both, "far_edited", "keys", "cells", "edited_keys", "edited_cells")
     both = with_difference(both, "far_next", "keys", "cells", "next_keys", "next_cells")

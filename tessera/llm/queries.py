@@ -33,7 +33,8 @@ def op10(spark, base):
 
 @query("op8_bloom_lookup_fingerprints")
 def op8(spark, base):
-    return fingerprints.fingerprint_documents(table(spark, base, "documents").select("doc_id", "text"))
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    return fingerprints.fingerprint_documents(docs, fingerprints.SENTENCE_END)
 
 
 @query("op9_template_chat")

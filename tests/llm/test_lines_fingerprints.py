@@ -66,6 +66,24 @@ def test_fingerprints_against_sets(spark):
     assert prints[4] == prints[5] and texts[4] == texts[5] and prints[4] != prints[6]
 
 
+def test_query_cuts_at_every_sentence_end(spark, tmp_path):
+    from tessera.llm.queries import QUERIES
+
+    lines = ["Kurt was left. Nobody met him at six. It is 1 of 3.", "She said \"no way!\" Then it got cold (or wet.) Last bit…", "Él lo vendió. Ella cantó. Fin del acto.",
+             "第一句。第二句！第三句？", "Eins ist falsch. Zwei ist gut! Drei ist weg? Vier ist da.", "one piece only", ""]
+    spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    end = re.compile(r"""\n|(?<=[.!?…؟।]) |(?<=[.!?…؟।]["'”’»)\]]) |(?<=[。！？]) ?""")
+    units = lambda t: {p for p in end.split(t) if p}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    got = {r.doc_id: r for r in QUERIES["op8_bloom_lookup_fingerprints"](spark, str(tmp_path)).collect()}
+    assert [len(units(t)) for t in lines] == [3, 3, 3, 3, 4, 1, 0]
+    for i, text in enumerate(lines):
+        after, third = lines[(i - 1) % len(lines)], len(text) // 3
+        assert abs(got[i].near_edited - like(units(text), units(text[: len(text) - third] + after[:third]))) < 1e-9
+        assert int(got[i].fingerprint[:8], 16) == len(units(text))
+    assert all(got[i].near_edited > 0 for i in range(5))
+
+
 def test_fingerprints_of_odd_rows(spark):
     docs = odd_documents(spark)
     rows = fp.fingerprint_documents(docs).collect()
