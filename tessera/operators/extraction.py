@@ -329,8 +329,14 @@ def site_documents(page_texts: DataFrame, max_chars: int | None = None, salts: i
     return counts.join(ordered, "site").select("site", "pages", "words", F.substring(joined, 1, max_chars).alias("raw_text"))
 
 
-def company_profile(documents: DataFrame) -> DataFrame:
-    """Size, description, audience and services of every site document."""
+def company_profile(
+    documents: DataFrame,
+    about_chars: int | None = None,
+    hero_chars: int | None = None,
+    max_services: int | None = None,
+    max_products: int | None = None,
+) -> DataFrame:
+    """Size, description, audience and services of every site document; texts and lists are whole unless a budget is given."""
     empty = F.array().cast("array<string>")
     services, products = F.coalesce("services", empty), F.coalesce("products", empty)
     text = F.lower(F.concat_ws(" ", "about", "hero", F.array_join(services, " ")))
@@ -356,8 +362,8 @@ def company_profile(documents: DataFrame) -> DataFrame:
         evidence = F.when(hit, matched).otherwise(evidence)
     description = (
         F.when(F.length("description") > 30, F.col("description"))
-        .when(F.length("about") > 30, F.substring("about", 1, 500))
-        .when(present("hero"), F.substring("hero", 1, 300))
+        .when(F.length("about") > 30, F.col("about") if about_chars is None else F.substring("about", 1, about_chars))
+        .when(present("hero"), F.col("hero") if hero_chars is None else F.substring("hero", 1, hero_chars))
         .otherwise("")
     )
     mood = F.lower(F.concat_ws(" ", "about", "hero"))
@@ -370,7 +376,10 @@ def company_profile(documents: DataFrame) -> DataFrame:
         .when(mood.rlike("patient|healthcare"), "Patients and healthcare seekers")
         .otherwise("General consumers and businesses")
     )
-    blocks = F.concat(F.slice(services, 1, 10), F.slice(products, 1, 5))
+    blocks = F.concat(
+        services if max_services is None else F.slice(services, 1, max_services),
+        products if max_products is None else F.slice(products, 1, max_products),
+    )
     lines = F.transform(blocks, lambda b: F.trim(F.get(F.split(b, r"[\n.]"), F.lit(0))))
     listed = F.array_distinct(F.filter(lines, lambda x: F.length(x).between(4, 119)))
     return documents.select(

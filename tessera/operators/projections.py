@@ -236,31 +236,46 @@ def expand_queries(seeds: DataFrame) -> DataFrame:
     return q.select("keyword", "city", "t.kind", "t.rank", text.alias("query"))
 
 
-def profile_text(documents: DataFrame) -> DataFrame:
-    """Model inputs per site, within the model's text budget.
-
-    ``classification_text`` takes title, description, hero, 400 letters of the about text and two
-    services of 200 letters (1800 in all); ``profile_text`` takes 300 letters of the about text and the
-    industry, ``services_text`` five services and three products of 100 letters (512 each).
+def profile_text(
+    documents: DataFrame,
+    classification_about: int | None = None,
+    classification_services: tuple[int | None, int | None] = (None, None),
+    classification_chars: int | None = None,
+    profile_about: int | None = None,
+    profile_chars: int | None = None,
+    services: tuple[int | None, int | None] = (None, None),
+    products: tuple[int | None, int | None] = (None, None),
+    services_chars: int | None = None,
+) -> DataFrame:
+    """Model inputs per site: whole texts and lists, or as far as the given budgets go.
+
+    ``classification_text`` takes title, description, hero, about and services, ``profile_text`` title, description, hero,
+    about and the industry, ``services_text`` services and products. Budgets are letters of the about text, (items, letters
+    of each) of a list, and letters in all; None is no limit.
     """
 
     def filled(name: str) -> Column:
         return F.nullif(name, F.lit(""))
 
-    def first(name: str, n: int, letters: int) -> Column:
-        cut = F.transform(F.slice(F.coalesce(name, F.array().cast("array<string>")), 1, n), lambda s: F.substring(s, 1, letters))
+    def upto(text: Column, letters: int | None) -> Column:
+        return text if letters is None else F.substring(text, 1, letters)
+
+    def first(name: str, budget: tuple[int | None, int | None]) -> Column:
+        n, letters = budget
+        items = F.coalesce(name, F.array().cast("array<string>"))
+        cut = F.transform(items if n is None else F.slice(items, 1, n), lambda s: upto(s, letters))
         return F.when(F.size(cut) > 0, F.array_join(cut, ". "))
 
     head = [filled("title"), filled("description"), filled("hero")]
-    classification = F.concat_ws(". ", *head, F.substring(filled("about"), 1, 400), first("services", 2, 200))
+    classification = F.concat_ws(". ", *head, upto(filled("about"), classification_about), first("services", classification_services))
     industry = F.when(F.col("industry") != "Unknown", F.concat(F.lit("Industry: "), filled("industry")))
-    profile = F.concat_ws(". ", *head, F.substring(filled("about"), 1, 300), industry)
-    services = F.concat_ws(". ", first("services", 5, 100), first("products", 3, 100))
+    profile = F.concat_ws(". ", *head, upto(filled("about"), profile_about), industry)
+    listed = F.concat_ws(". ", first("services", services), first("products", products))
     return documents.select(
         "site",
-        F.trim(F.substring(classification, 1, 1800)).alias("classification_text"),
-        F.substring(profile, 1, 512).alias("profile_text"),
-        F.substring(services, 1, 512).alias("services_text"),
+        F.trim(upto(classification, classification_chars)).alias("classification_text"),
+        upto(profile, profile_chars).alias("profile_text"),
+        upto(listed, services_chars).alias("services_text"),
     )
 
 

@@ -268,7 +268,11 @@ def _uses(*names: str) -> str:
   substr(concat_ws('. ', case when len(hs) > 0 then array_to_string(list_transform(hs[1:5], lambda h: substr(h, 1, 100)), '. ') end, case when len(hs) > 0 then array_to_string(list_transform(hs[1:3], lambda h: substr(h, 1, 100)), '. ') end), 1, 512) as services_text from docs""",
 )
 def _(t):
-    return prj.profile_text(_documents(t))
+    # the budgets of the twin
+    return prj.profile_text(
+        _documents(t), classification_about=400, classification_services=(2, 200), classification_chars=1800, profile_about=300,
+        profile_chars=512, services=(5, 100), products=(3, 100), services_chars=512,
+    )
 
 
 _SIZE_TEXT = "lower(concat_ws(' ', title, hero, array_to_string(hs, ' ')))"
@@ -284,7 +288,7 @@ _SIZE_TEXT = "lower(concat_ws(' ', title, hero, array_to_string(hs, ' ')))"
    else 'General consumers and businesses' end as target_audience from docs""",
 )
 def _(t):
-    return ext.company_profile(_documents(t)).select("site", "company_size", "description", "target_audience")
+    return ext.company_profile(_documents(t), about_chars=500, hero_chars=300).select("site", "company_size", "description", "target_audience")
 
 
 @query(

@@ -343,3 +343,18 @@ def test_long_query_lists_give_the_same_hits(spark):
     near = {tuple(r) for r in flt.keyword_search(companies, queries, 5).collect()}
     far = {tuple(r) for r in flt.keyword_search(companies, queries, 5, small=0).collect()}
     assert near == far and len(near) == 15
+
+
+def test_site_texts_and_lists_are_whole_by_default(spark):
+    from tessera.operators.extraction import company_profile
+    from tessera.operators.projections import profile_text
+
+    items = [f"service {i} " + "x" * 90 + " end" for i in range(20)]
+    row = ("s", "t", None, "h", "a" * 3000, items, items[::-1], ["WordPress"], "Health", "Unknown")
+    docs = spark.createDataFrame([row], "site string, title string, description string, hero string, about string, services array<string>, products array<string>, technology array<string>, industry string, business_model string")
+    r = profile_text(docs).first()
+    assert r.classification_text == ". ".join(["t", "h", "a" * 3000, *items]) and r.profile_text == "t. h. " + "a" * 3000 + ". Industry: Health"
+    assert r.services_text == ". ".join([*items, *items[::-1]])
+    assert profile_text(docs, profile_about=5, profile_chars=9, services=(1, 7), products=(0, None)).select("profile_text", "services_text").first()[:] == ("t. h. aaa", "service")
+    p = company_profile(docs).first()
+    assert len(p.description) == 3000 and len(p.services_listed) == 20
