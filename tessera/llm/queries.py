@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, fingerprints, line_dedup, near_dups, repeats, token_files, toxicity
+from tessera.llm import chat, decontamination, fingerprints, infilling, line_dedup, near_dups, repeats, token_files, toxicity
 from tessera.llm.catalog import ORACLES, QUERIES, query, table, vocabulary
 from tessera.llm.common import new_folder
 from tessera.llm.packing import pack_documents
@@ -73,3 +73,12 @@ def op1(spark, base):
 def op6(spark, base):
     rows = repeats.remove_repeats(table(spark, base, "documents"), length=200)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_swar_infilling", infilling.ROWS_SQL)
+def op11(spark, base):
+    rows = infilling.fill_in_middle(table(spark, base, "documents"))
+    back = infilling.restored(F.col("output"), F.col("form"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
