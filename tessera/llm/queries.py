@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, fingerprints, infilling, line_dedup, near_dups, repeats, token_files, toxicity
+from tessera.llm import chat, decontamination, fingerprints, infilling, line_dedup, manifest, near_dups, repeats, token_files, toxicity
 from tessera.llm.catalog import ORACLES, QUERIES, query, table, vocabulary
 from tessera.llm.common import new_folder
 from tessera.llm.packing import pack_documents
@@ -82,3 +82,9 @@ def op11(spark, base):
     return rows.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
     )
+
+
+@query("op13_merkle_windows", manifest.rows_sql())
+def op13(spark, base):
+    rows = manifest.manifest(table(spark, base, "documents"), manifest.tampered(F.col("doc_id"), F.col("n_chars")))
+    return manifest.verified(rows)
