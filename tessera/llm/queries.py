@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, fingerprints, infilling, line_dedup, manifest, near_dups, repeats, token_files, toxicity
+from tessera.llm import chat, decontamination, fingerprints, infilling, line_dedup, manifest, near_dups, repeats, token_files, toxicity, vector_dups
 from tessera.llm.catalog import ORACLES, QUERIES, query, table, vocabulary
 from tessera.llm.common import new_folder
 from tessera.llm.packing import pack_documents
@@ -88,3 +88,8 @@ def op11(spark, base):
 def op13(spark, base):
     rows = manifest.manifest(table(spark, base, "documents"), manifest.tampered(F.col("doc_id"), F.col("n_chars")))
     return manifest.verified(rows)
+
+
+@query("op12_cross_polytope_links")
+def op12(spark, base):
+    return vector_dups.near_duplicate_vectors(table(spark, base, "embeddings"), least=0.95)
