@@ -50,4 +50,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    rows._written_to = path
+    return rows
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders behind results of :func:`cut_lineage` that nothing reads any more; other frames are left alone."""
+    for df in frames:
+        path = df.__dict__.pop("_written_to", None)
+        if path is not None:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
