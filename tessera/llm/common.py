@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.session import checkpoint_dir, cut_lineage, prepare
+from tessera.session import checkpoint_dir, cut_lineage, discard, prepare
 
 #: Rows and bytes of one Arrow batch; keeps a Python worker small when texts are long.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
@@ -27,6 +27,22 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more."""
+    discard(*frames)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until ``df`` has no column of it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slots(spark: SparkSession, factor: int = 1) -> int:
     """Number of shuffle partitions the session asks for, times ``factor``."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))) * factor
@@ -37,7 +53,7 @@ def byte_lists(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [v or b"" for v in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``most`` bytes at most (one row at least)."""
     for batch in batches:
         sizes = np.array([len(v) if v else 0 for v in batch.column(column).cast(pa.binary()).to_pylist()], np.int64)

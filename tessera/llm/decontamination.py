@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IS_MARK, mix, ready, slices, word_hashes, written
+from tessera.llm.common import IS_MARK, mix, ready, slices, unused, word_hashes, written
 
 #: Fixed masks, 1: compared. They fit texts without changes for six tokens, with every second to fifth token changed, and mixtures.
 #: A stretch with every second token changed throughout has a share of 0.5 and is no overlap; its mask is for parts of a stretch.
@@ -26,13 +26,13 @@ from tessera.llm.common import IS_MARK, mix, ready, slices, word_hashes, written
 MASKS = ("111111", "1110111", "1111011", "11011011", "1101110001", "10101010101", "1001011011")
 #: Bits of the bit table (as a power of two), equal tokens of an overlap at least, and their share at least.
 TABLE_BITS, LEAST_EQUAL, LEAST_SHARE = 26, 10, 0.65
+#: Text bytes that are hashed at once.
+SLICE = 512 << 10
 _CODES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def seeds(tokens: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions, hashes) of each mask; ``room`` is the number of tokens from each position to the end of its text."""
-    longest = max(map(len, MASKS))
-    products = [tokens * _CODES[o] for o in range(longest)]
     for number, mask in enumerate(MASKS):
         if len(tokens) < len(mask):
             continue
@@ -40,7 +40,7 @@ def seeds(tokens: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np
         total = np.full(n, _CODES[63 - number])
         for o, bit in enumerate(mask):
             if bit == "1":
-                total += products[o][o : o + n]
+                total += tokens[o : o + n] * _CODES[o]
         at = np.flatnonzero(room[:n] >= len(mask))
         yield at, mix(total[at])
 
@@ -108,7 +108,7 @@ def _suspects(docs: DataFrame, table: np.ndarray, bits: int = TABLE_BITS) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             bounds, tokens = _tokens(batch)
             room = _room(bounds)
             found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -238,6 +238,7 @@ def contaminated_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that overlap with a test item; all columns stay."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    own_id, own_hash = unused(docs, "_id", "_hash")
+    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_hash))
     return docs.join(gone, same, "left_anti")

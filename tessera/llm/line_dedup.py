@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ready, written
+from tessera.llm.common import ready, unused, written
 
 WIDTH = 3
 
@@ -44,25 +44,26 @@ def remove_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     and are treated alike. An empty table gives no rows.
     """
     ready(docs.sparkSession)
-    covered = (
+    own_id, own_hash, covered, lines, stay = unused(docs, "_id", "_hash", "_covered", "_lines", "_stay")
+    repeated = (
         later_windows(docs.select("doc_id", "text"), width)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"))
-        .agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + width - 1)))).alias("_covered"))
+        .groupBy(F.col("doc_id").alias(own_id), F.col("_text").alias(own_hash))
+        .agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + width - 1)))).alias(covered))
     )
-    rest = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed")]
-    places = F.sequence(F.lit(0), F.size("_lines") - 1)
-    kept = F.when(F.col("_covered").isNull(), places).otherwise(F.array_except(places, "_covered"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed")]
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    kept = F.when(F.col(covered).isNull(), places).otherwise(F.array_except(places, covered))
     return (
-        docs.join(covered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
-        .withColumn("_lines", F.split("text", "\n"))
-        .withColumn("_kept", kept)
+        docs.join(repeated, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_hash)), "left")
+        .withColumn(lines, F.split("text", "\n"))
+        .withColumn(stay, kept)
         .select(
             *rest,
             F.when(
-                F.col("_covered").isNotNull(), F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n")
+                F.col(covered).isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
             ).otherwise(F.col("text")).alias("text"),
-            F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-            F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed"),
+            F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+            F.when(F.col(covered).isNull(), 0).otherwise(F.size(lines) - F.size(stay)).cast("long").alias("n_removed"),
         )
     )
 
