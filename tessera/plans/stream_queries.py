@@ -23,27 +23,17 @@ LANDED_FILES = 5
 
 
 class StreamTables:
-    """Like the table set, but base tables are read as streams: whole, in several files, one a micro-batch.
+    """Like the table set, but base tables are read as streams: whole, in several files out of order, one a micro-batch."""
 
-    Files are out of order, unless ``by`` names a column whose ranges they hold in turn.
-    """
-
-    def __init__(self, t, files: int = LANDED_FILES, by: str | None = None):
-        self.spark, self.base, self._batch, self._files, self._by, self._landed = t.spark, t.base, t, files, by, {}
+    def __init__(self, t, files: int = LANDED_FILES):
+        self.spark, self.base, self._batch, self._files, self._landed = t.spark, t.base, t, files, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in SCHEMAS:
             if name not in self._landed:
                 rows = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{name}.parquet")
                 self._landed[name] = f"{checkpoint_dir(self.spark)}/landed-{uuid.uuid4().hex}"
-                if self._by:  # one append after the other: a stream takes files by their age
-                    at = F.unix_micros(self._by)
-                    cuts = rows.agg(F.percentile_approx(at, [k / self._files for k in range(1, self._files)])).first()[0] or []
-                    for low, high in zip([None, *cuts], [*cuts, None]):
-                        some = rows.filter((F.lit(low is None) | (at > low)) & (F.lit(high is None) | (at <= high)))
-                        some.coalesce(1).write.mode("append").parquet(self._landed[name])
-                else:
-                    rows.repartition(self._files, F.xxhash64(*rows.columns)).write.parquet(self._landed[name])
+                rows.repartition(self._files, F.xxhash64(*rows.columns)).write.parquet(self._landed[name])
             return self.spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", 1).parquet(self._landed[name])
         return self.spark.sql(VIEWS[name], **{n: getattr(self, n) for n in inputs_of(name)})
 
@@ -74,6 +64,11 @@ def _(t):
     return run_to_end(StreamTables(t).events.select("event_id", "ts", "user_id", "event_type"), "append")
 
 
+def _freshness_stream(t):
+    answers = run_to_end(jobs.freshness(_component_events(StreamTables(t)), lateness_hours=24 * 31), "append")
+    return jobs.settled_freshness(answers, _component_events(t))
+
+
 def _stream(name: str, twin: str, build) -> None:
     """Register a stream under the SQL of its batch twin."""
     query(name)(build)
@@ -92,7 +87,7 @@ _stream(
 )
 _stream("str_06_progress_stream", "str_06_progress", lambda t: run_to_end(jobs.progress_stream(_progress(StreamTables(t))), "complete"))
 _stream("str_07_per_minute_stream", "str_07_per_minute", lambda t: run_to_end(jobs.per_minute(StreamTables(t).events), "complete"))
-_stream("str_08_freshness_stream", "str_08_freshness", lambda t: run_to_end(jobs.freshness(_component_events(StreamTables(t, by="ts"))), "append"))
+_stream("str_08_freshness_stream", "str_08_freshness", _freshness_stream)
 _stream("str_09_failed_jobs_stream", "str_09_failed_jobs", lambda t: run_to_end(jobs.failed_jobs(_attempts(StreamTables(t))), "complete"))
 
 

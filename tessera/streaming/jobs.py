@@ -1,12 +1,12 @@
 """Structured Streaming jobs; each aggregate is the same function as its batch twin."""
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators.aggregates import STAGES, provider_totals, source_totals, with_reliability
 from tessera.operators.filters import COMPONENT_HOURS, DEFAULT_HOURS
@@ -172,44 +172,118 @@ def failed_jobs(attempts: DataFrame, limit: int = 3) -> DataFrame:
     )
 
 
-def freshness(events: DataFrame) -> DataFrame:
-    """Hit or miss of every request against the last stored result of its (component, domain).
+DAY = 86_400_000_000  # microseconds
+#: What a stream of requests gives: ``revision`` 1 corrects an earlier answer, outcome ``late`` is not an answer.
+FRESHNESS = "component string, domain string, kind string, request_id long, at long, outcome string, revision int"
+
+
+class _Freshness(StatefulProcessor):
+    """Stored times and open misses of one (component, domain), in maps by day, for as long as rows are awaited."""
+
+    def __init__(self, limits: dict[str, int], other: int, lateness: int):
+        self.limits, self.other, self.lateness = limits, other, lateness
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stored = handle.getMapState("stored", "day long", "at array<long>")
+        self.misses = handle.getMapState("misses", "day long", "at array<long>, request array<long>")
+
+    def _limit(self, component: str | None) -> int:
+        return self.limits.get(component, self.other)
+
+    def _of(self, state, day: int) -> list[list]:
+        return [list(x) for x in state.getValue((day,))] if state.containsKey((day,)) else [[], []]
+
+    def _keep(self, state, day: int, value: tuple, limit: int) -> None:
+        state.updateValue((day,), value)
+        self.handle.registerTimer(((day + 1) * DAY + limit + self.lateness) // 1000)
+
+    def _is_hit(self, at: int, limit: int) -> bool:
+        """Is a result stored in (at - limit, at]?"""
+        for day in range(at // DAY, (at - limit) // DAY - 1, -1):
+            times = self._of(self.stored, day)[0]
+            place = bisect_right(times, at)
+            if place and at - times[place - 1] < limit:
+                return True
+            if place:
+                return False
+        return False
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        limit, oldest = self._limit(key[0]), timerValues.getCurrentWatermarkInMs() * 1000 - self.lateness
+        give = lambda *x: Row("component", "domain", *FRESHNESS_FIELDS)(key[0], key[1], *x)
+        for row in rows:
+            at, day = row.at, None if row.at is None else row.at // DAY
+            if at is None:  # without a time nothing is known to be stored before it
+                if row.kind != "stored":
+                    yield give("request", row.request_id, None, "miss", 0)
+            elif at < oldest:
+                yield give(row.kind, row.request_id, at, "late", 0)
+            elif row.kind == "stored":
+                times = self._of(self.stored, day)[0]
+                insort(times, at)
+                self._keep(self.stored, day, (times,), limit)
+                for other in range(day, (at + limit) // DAY + 1):
+                    asked, requests = self._of(self.misses, other)
+                    hit = [at <= x < at + limit for x in asked]
+                    if any(hit):
+                        left = [(x, r) for x, r, h in zip(asked, requests, hit) if not h]
+                        self.misses.updateValue((other,), ([x for x, _ in left], [r for _, r in left]))
+                        for x, r in ((x, r) for x, r, h in zip(asked, requests, hit) if h):
+                            yield give("request", r, x, "hit", 1)
+            elif self._is_hit(at, limit):
+                yield give("request", row.request_id, at, "hit", 0)
+            else:
+                asked, requests = self._of(self.misses, day)
+                self._keep(self.misses, day, (asked + [at], requests + [row.request_id]), limit)
+                yield give("request", row.request_id, at, "miss", 0)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        day = (expiredTimerInfo.getExpiryTimeInMs() * 1000 - self._limit(key[0]) - self.lateness) // DAY - 1
+        for state in (self.stored, self.misses):
+            if state.containsKey((day,)):
+                state.removeKey((day,))
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+FRESHNESS_FIELDS = ["kind", "request_id", "at", "outcome", "revision"]
+
+
+def freshness(events: DataFrame, lateness_hours: int = 24 * 7) -> DataFrame:
+    """Hit or miss of every request against the last stored result of its (component, domain), in any order of arrival.
 
-    ``events`` has kind ``stored`` or ``request``; a stored result lives as long as its component
-    allows. State per key is one timestamp and is dropped when it expires.
+    ``events`` has component, domain, kind (``stored`` or ``request``), ts and request_id. A request is answered when it arrives;
+    a stored result that arrives after a request it precedes turns the miss into a hit, by a row of revision 1. State is one list
+    of times a day and key, dropped by a timer when the watermark is ``lateness_hours`` and the component's limit past the day. Rows
+    older than that are not lost: they come out with outcome ``late``, and :func:`settled_freshness` judges them.
     """
-    ttl = {name: hours * 3600 * 1000 for name, hours in COMPONENT_HOURS.items()}
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        limit = ttl.get(key[0], DEFAULT_HOURS * 3600 * 1000)
-        stored = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "kind"], ascending=[True, False])
-        out = []
-        for kind, ts, request in zip(rows["kind"], rows["ts"], rows["request_id"]):
-            at = int(ts.timestamp() * 1000)
-            if kind == "stored":
-                stored = at
-            else:
-                hit = stored is not None and 0 <= at - stored < limit
-                out.append((key[0], key[1], int(request), "hit" if hit else "miss"))
-        if stored is not None:
-            state.update((stored,))
-            watermark = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(stored + limit, watermark + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["component", "domain", "request_id", "outcome"])
+    spark = events.sparkSession
+    # maps and timers are kept by this store only
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    hour = DAY // 24
+    limits = {name: hours * hour for name, hours in COMPONENT_HOURS.items()}
+    # the time goes on as a number: rows behind the watermark would be filtered out by their timestamp
+    rows = events.withWatermark("ts", "1 hour").select("component", "domain", "kind", "request_id", F.unix_micros("ts").alias("at"))
+    processor = _Freshness(limits, DEFAULT_HOURS * hour, lateness_hours * hour)
+    return rows.groupBy("component", "domain").transformWithState(processor, FRESHNESS, "append", "EventTime")
 
-    return (
-        events.withWatermark("ts", "1 hour")
-        .groupBy("component", "domain")
-        .applyInPandasWithState(
-            step, "component string, domain string, request_id long, outcome string", "stored long", "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+
+def settled_freshness(answers: DataFrame, events: DataFrame) -> DataFrame:
+    """(component, domain, request_id, outcome) from the rows of :func:`freshness` and the table of all events.
+
+    The last revision of an answer counts. Keys with late rows are judged as a whole by :func:`batch_freshness`.
+    """
+    keys = answers.filter("outcome = 'late'").select(F.col("component").alias("c"), F.col("domain").alias("d")).distinct()
+    same = F.col("component").eqNullSafe(F.col("c")) & F.col("domain").eqNullSafe(F.col("d"))
+    last = answers.join(keys, same, "left_anti").groupBy("component", "domain", "request_id", "at").agg(
+        F.max_by("outcome", "revision").alias("outcome"), F.count_if(F.col("revision") == 0).alias("n")
     )
+    # repeated requests are answered once each
+    given = last.select("component", "domain", "request_id", "outcome", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
+    return given.unionByName(batch_freshness(events.join(keys, same, "left_semi")))
 
 
 def batch_freshness(events: DataFrame) -> DataFrame:
@@ -229,8 +303,10 @@ def batch_freshness(events: DataFrame) -> DataFrame:
     e = e.withColumn("today", F.max("stored_ts").over(inside))
     days = e.groupBy(*keys, "day").agg(F.max("stored_ts").alias("last"))
     earlier = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("carried", F.max("last").over(earlier)).drop("last")
-    joined = e.join(days, [*keys, "day"]).filter("kind = 'request'")
+    days = days.select(*(F.col(c).alias(f"_{c}") for c in [*keys, "day"]), F.max("last").over(earlier).alias("carried"))
+    # null keys and times are groups like any other
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, "day"]]
+    joined = e.filter("kind = 'request'").join(days, same)
     stored = F.coalesce("today", "carried")
     hit = F.coalesce(F.col("ts") - stored < component_limit(), F.lit(False))
     return joined.select(*keys, "request_id", F.when(hit, "hit").otherwise("miss").alias("outcome"))

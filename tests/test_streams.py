@@ -1,5 +1,6 @@
 """Streams give what their batch twins give, in several batches and in any order of arrival."""
 import random
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -78,16 +79,25 @@ def test_campaign_counters_and_replies(spark, tmp_path):
 
 
 def test_freshness(spark, tmp_path):
-    minute = {"stored": 0, "early": 10, "late": 24 * 60 + 1}
-    rows = [("html", "a.in", "stored", stamp(spark, 0), 0)] + [
-        ("html", "a.in", "request", stamp(spark, m), i) for i, m in enumerate([minute["early"], minute["late"]], 1)
-    ] + [("ner", "a.in", "request", stamp(spark, 10), 3)]
+    """Shuffled files over forty days: rows in time, corrected answers and late rows give what the table gives."""
+    r = random.Random(2)
+    rows = [
+        (r.choice(["html", "ner", "other", None]), r.choice(["a.in", "b.in"]), r.choice(["stored", "request", "request"]), stamp(spark, 0) + timedelta(minutes=r.randrange(40 * 24 * 60)), i)
+        for i in range(240)
+    ]
+    rows += [("html", "c.in", "stored", stamp(spark, 5), 900), ("html", "c.in", "request", stamp(spark, 5), 901), ("html", "c.in", "request", stamp(spark, 5 + 24 * 60), 902)]
+    rows += [("html", "c.in", "request", None, 903), rows[0], rows[1], rows[2]]
     schema = "component string, domain string, kind string, ts timestamp, request_id long"
-    batch = feed(spark, str(tmp_path / "in"), rows, schema, 1)
-    want = {(1, "hit"), (2, "miss"), (3, "miss")}
-    assert {(r.request_id, r.outcome) for r in jobs.batch_freshness(batch).collect()} == want
-    stream = jobs.freshness(read_events(spark, str(tmp_path / "in"), "component_results"))
-    assert {(r.request_id, r.outcome) for r in drain(stream, "append", str(tmp_path / "f"), spark)} == want
+    batch = feed(spark, str(tmp_path / "in"), rows, schema, 4)
+    want = sorted((tuple(x) for x in jobs.batch_freshness(batch).collect()), key=str)
+    assert {(x[2], x[3]) for x in want} >= {(901, "hit"), (902, "miss"), (903, "miss")} and len(want) == sum(x[2] == "request" for x in rows)
+    kinds = set()
+    for hours in (24 * 60, 24):
+        stream = jobs.freshness(read_events(spark, str(tmp_path / "in"), "component_results", files_per_trigger=1), hours)
+        answers = spark.createDataFrame(drain(stream, "append", str(tmp_path / f"f{hours}"), spark), jobs.FRESHNESS)
+        kinds |= {(hours, x.outcome, x.revision) for x in answers.collect()}
+        assert sorted((tuple(x) for x in jobs.settled_freshness(answers, batch).collect()), key=str) == want
+    assert (24 * 60, "hit", 1) in kinds and (24 * 60, "late", 0) not in kinds and (24, "late", 0) in kinds
 
 
 def test_failed_jobs_need_three_attempts(spark):
