@@ -1,11 +1,10 @@
 """Connected components and ordered leader clustering, both as rounds of joins and aggregates."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, discard
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -49,18 +48,45 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def leaders_by_pairs(
-    nodes: DataFrame, pairs: DataFrame, parallel_rounds: int = 8, finish_edges: int = 20000
-) -> DataFrame:
+def _chain_ends(links: DataFrame) -> DataFrame:
+    """(node, at, turns) for links (node, before): the end of each node's chain of links, and whether it is an odd way off.
+
+    Pointers are doubled, so a chain of n links takes log2(n) rounds. ``before`` is smaller than ``node``.
+    """
+    at = cut_lineage(links.select("node", F.col("before").alias("at"), F.lit(1).alias("turns")))
+    while True:
+        onward = at.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("turns").alias("more"))
+        far = at.join(onward, "at", "left").select(
+            "node", F.coalesce("next", "at").alias("at"), ((F.col("turns") + F.coalesce("more", F.lit(0))) % 2).alias("turns"), F.col("next").isNotNull().alias("moved")
+        )
+        far = cut_lineage(far)
+        discard(at)
+        at = far.drop("moved")
+        if far.filter("moved").isEmpty():
+            return at
+
+
+def _decided_by_chains(links: DataFrame, state: DataFrame) -> DataFrame:
+    """(node, leads) of the nodes whose chain of ``links`` ends at a decided node.
+
+    A link (node, before) says that ``before`` is all that ``node`` still waits for: it leads exactly if ``before`` does not.
+    """
+    if links.isEmpty():
+        return state.limit(0)
+    ends = _chain_ends(links)
+    return ends.join(state.select(F.col("node").alias("at"), "leads"), "at").select("node", ((F.col("leads") + F.col("turns")) % 2).cast("int").alias("leads"))
+
+
+def leaders_by_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Ordered greedy clustering over a similarity graph: (node, leader).
 
     Scanning nodes in ascending order, a node with no earlier leader neighbour leads; any other joins
     its earliest leader neighbour. The leaders are thus the first maximal independent set in order.
     ``nodes`` has ``node`` (its value is its place in the scan), ``pairs`` has ``a`` < ``b``.
 
-    A round decides every node whose earlier neighbours are all decided. Long chains need many rounds,
-    so after ``parallel_rounds`` each remaining component of at most ``finish_edges`` edges is finished
-    in a task of its own; larger ones go on in rounds.
+    A round decides every node whose earlier neighbours are all decided, and then whole chains: nodes
+    with one open earlier neighbour are the opposite of it, and such links are followed by doubling
+    pointers. All work is joins and aggregates; a component is never gathered in one place.
     """
     pairs = cut_lineage(pairs.select("a", "b"))
     # state: 1 leads, 0 follows; nodes without an earlier neighbour lead from the start
@@ -69,31 +95,25 @@ def leaders_by_pairs(
     )
     state = cut_lineage(firsts.select("node", F.lit(1).alias("leads")))
     open_pairs = pairs
-    rounds = 0
     while True:
         # what the earlier node of each open pair is known to be
         seen = open_pairs.join(state, open_pairs["a"] == state["node"], "left").select("a", "b", "leads")
         verdict = seen.groupBy("b").agg(
-            F.max("leads").alias("any_leader"), F.count_if(F.col("leads").isNull()).alias("unknown")
-        )
-        fresh = cut_lineage(
-            verdict.filter("any_leader = 1 or unknown = 0").select(
-                F.col("b").alias("node"), F.when(F.col("any_leader") == 1, 0).otherwise(1).alias("leads")
-            )
-        )
-        state = cut_lineage(state.unionByName(fresh))
-        open_pairs = cut_lineage(
-            open_pairs.join(fresh, open_pairs["b"] == fresh["node"], "left_anti")
+            F.max("leads").alias("any_leader"),
+            F.count_if(F.col("leads").isNull()).alias("unknown"),
+            F.min(F.when(F.col("leads").isNull(), F.col("a"))).alias("before"),
         )
+        verdict = cut_lineage(verdict.withColumnRenamed("b", "node"))
+        done = "any_leader = 1 or unknown = 0"
+        fresh = verdict.filter(done).select("node", F.when(F.col("any_leader") == 1, 0).otherwise(1).alias("leads"))
+        known = cut_lineage(state.unionByName(fresh))
+        chained = _decided_by_chains(verdict.filter(f"not coalesce({done}, false) and unknown = 1").select("node", "before"), known)
+        grown = cut_lineage(known.unionByName(chained))
+        left = cut_lineage(open_pairs.join(grown, open_pairs["b"] == grown["node"], "left_anti"))
+        discard(state, known, verdict, *([open_pairs] if open_pairs is not pairs else []))
+        state, open_pairs = grown, left
         if open_pairs.isEmpty():
             break
-        rounds += 1
-        if rounds == parallel_rounds:
-            done = _finish_small_components(open_pairs, state, finish_edges)
-            state = cut_lineage(state.unionByName(done))
-            open_pairs = cut_lineage(open_pairs.join(done, open_pairs["b"] == done["node"], "left_anti"))
-            if open_pairs.isEmpty():
-                break
     followers = state.filter("leads = 0").select("node")
     lead = nodes.select("node").join(followers, "node", "left_anti")
     first_leader = (
@@ -102,31 +122,6 @@ def leaders_by_pairs(
     return lead.select("node", F.col("node").alias("leader")).unionByName(followers.join(first_leader, "node"))
 
 
-def _finish_small_components(open_pairs: DataFrame, state: DataFrame, finish_edges: int) -> DataFrame:
-    """Decide the open nodes of every component with at most ``finish_edges`` open pairs."""
-    known = open_pairs.join(state, open_pairs["a"] == state["node"], "left").select("a", "b", "leads")
-    # decided nodes do not connect components
-    links = known.filter("leads is null").select("a", "b")
-    nodes = known.select(F.col("b").alias("node")).distinct()
-    component = connected_components(nodes, links)
-    labelled = known.join(component, known["b"] == component["node"]).select("component", "a", "b", "leads")
-    sizes = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= finish_edges)
-    small = labelled.join(sizes.select("component"), "component", "left_semi")
-    return small.groupBy("component").applyInPandas(_scan_component, "node long, leads int")
-
-
-def _scan_component(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sequential scan of one small component."""
-    leads = {int(a): int(v) for a, v in zip(pdf["a"], pdf["leads"]) if pd.notna(v)}
-    earlier: dict[int, list[int]] = {}
-    for a, b in zip(pdf["a"], pdf["b"]):
-        earlier.setdefault(int(b), []).append(int(a))
-    out = {}
-    for b in sorted(earlier):
-        out[b] = leads[b] = int(not any(leads.get(a, 0) for a in earlier[b]))
-    return pd.DataFrame({"node": list(out), "leads": list(out.values())})
-
-
 def leaders_by_keys(keys: DataFrame) -> DataFrame:
     """Ordered greedy clustering where two nodes are neighbours when they share a key.
 
@@ -134,23 +129,35 @@ def leaders_by_keys(keys: DataFrame) -> DataFrame:
     key. Returns (node, leader) for nodes with keys: a node whose keys are all free when its turn comes
     leads and takes them; any other joins the owner of its first taken key by priority.
 
-    Pairs are never built: a round finds each key's first open node by an aggregate, so a key shared by
-    a third of all rows costs one row per task.
+    Pairs are never built: a round finds each key's first two open nodes by an aggregate, so a key
+    shared by a third of all rows costs one row per task. A node that is first or second on all its
+    open keys, and second behind one node only, is the opposite of that node; chains of such nodes are
+    decided at once, by doubling pointers.
     """
     keys = cut_lineage(keys.select("node", "priority", "key").distinct())
     open_keys = keys
     owners: DataFrame | None = None
     while True:
         first = open_keys.groupBy("key").agg(F.min("node").alias("first"))
-        marked = open_keys.join(first, "key")
-        fresh_leaders = (
-            marked.groupBy("node").agg(F.max(F.col("node") - F.col("first")).alias("gap")).filter("gap = 0").select("node")
+        later = open_keys.join(first, "key")
+        second = later.filter("node > first").groupBy("key").agg(F.min("node").alias("second"))
+        place = later.join(second, "key", "left").groupBy("node").agg(
+            F.min(F.expr("if(node > first, first, null)")).alias("before"),
+            F.max(F.expr("if(node > first, first, null)")).alias("last_before"),
+            F.max(F.expr("node > first and node > second")).alias("waits"),
         )
+        place = cut_lineage(place)
+        leads = place.filter("before is null").select("node", F.lit(1).alias("leads"))
+        links = place.filter("before = last_before and not coalesce(waits, false)").select("node", "before")
+        leads = cut_lineage(leads.unionByName(_decided_by_chains(links, leads)))
+        fresh_leaders = leads.filter("leads = 1").select("node")
         fresh = cut_lineage(open_keys.join(fresh_leaders, "node", "left_semi").select("key", F.col("node").alias("owner")))
         owners = fresh if owners is None else cut_lineage(owners.unionByName(fresh))
         # leaders and every node holding a key that is now taken are decided
-        decided = open_keys.join(fresh.select("key"), "key", "left_semi").select("node").distinct()
-        open_keys = cut_lineage(open_keys.join(decided, "node", "left_anti"))
+        decided = open_keys.join(fresh, "key").filter("node >= owner").select("node").distinct()
+        left = cut_lineage(open_keys.join(decided, "node", "left_anti"))
+        discard(place, leads, *([open_keys] if open_keys is not keys else []))
+        open_keys = left
         if open_keys.isEmpty():
             break
     # an owner later in the scan took the key after this node was decided, so it does not count

@@ -631,7 +631,25 @@ def _(t):
     return res.exact_dedup_pairs(t.discovery_results)
 
 
-@query("ent_01_dedup_pairs")
+_NAME_PAIRS = """n as (select lower(trim(raw_name)) as nm, min(record_id) as id from discovery_results where raw_name is not null group by 1),
+ f as (select x.id as a, y.id as b from n x join n y on x.id < y.id and abs(length(x.nm) - length(y.nm)) <= 6 where 20 * levenshtein(x.nm, y.nm) <= 3 * greatest(length(x.nm), length(y.nm)))"""
+# one step a node of the pairs ``f``, carrying the leaders so far
+_LEADER_SCAN = """e as (select b, list(a) as before from f group by b),
+ o as (select row_number() over (order by node) as i, node, coalesce(before, []) as before from (select a as node from f union select b from f) left join e on b = node),
+ s(i, node, leads, leaders) as (select 0::bigint, null::bigint, false, []::bigint[] union all
+   select o.i, o.node, not list_has_any(leaders, before), case when list_has_any(leaders, before) then leaders else list_append(leaders, o.node) end from s join o on o.i = s.i + 1),
+ led as (select s.node, coalesce(min(f.a) filter (where p.leads), s.node) as leader from s left join f on f.b = s.node left join s p on p.node = f.a where s.node is not null group by s.node)"""
+
+
+@query(
+    "ent_01_dedup_pairs",
+    f"""with recursive {_EXACT}, rest as (select * from discovery_results where raw_name is not null and record_id not in (select record_id from g)),
+ n as (select lower(trim(raw_name)) as nm, min(record_id) as id from rest group by 1),
+ f as (select x.id as a, y.id as b from n x join n y on x.id < y.id and abs(length(x.nm) - length(y.nm)) <= 6 where 20 * levenshtein(x.nm, y.nm) <= 3 * greatest(length(x.nm), length(y.nm))), {_LEADER_SCAN},
+ w as (select record_id, coalesce(leader, id) as leader, {_SCORE} as sc from rest join n on lower(trim(raw_name)) = nm left join led on led.node = id),
+ c as (select record_id, first_value(record_id) over (partition by leader order by sc desc, record_id) as duplicate_of from w)
+ select record_id, duplicate_of, pass from g where record_id <> duplicate_of union all select record_id, duplicate_of, 'name' from c where record_id <> duplicate_of""",
+)
 def _(t):
     return res.dedup_pairs(t.discovery_results)
 
@@ -680,12 +698,30 @@ def _(t):
     return agg.dedup_summary(_marked(t))
 
 
-@query("ent_03_merge_sources")
+# the scan itself: one step a record, carrying the keys that leaders have taken
+_MERGE_SCAN = f"""with recursive k as (select record_id as node, {sql_phone("raw_phone", 10)} as p, {sql_host("raw_website")} as h, {sql_name("raw_name")} as n from discovery_results),
+ l as (select node, unnest([struct_pack(rank := 1, key := 'p:' || p), struct_pack(rank := 2, key := 'h:' || h), struct_pack(rank := 3, key := 'n:' || n)]) as x from k),
+ d as (select node, x.rank as rank, dense_rank() over (order by x.key) as key from l where x.key is not null),
+ o as (select row_number() over (order by node) as i, node, list(key) as keys from d group by node),
+ s(i, node, leads, taken) as (select 0::bigint, null::bigint, false, []::bigint[] union all
+   select o.i, o.node, not list_has_any(taken, keys), case when list_has_any(taken, keys) then taken else list_concat(taken, keys) end from s join o on o.i = s.i + 1),
+ own as (select d.key, s.node as owner from s join d on d.node = s.node where s.leads),
+ led as (select d.node, arg_min(owner, rank) as leader from d join own using (key) where owner <= d.node group by d.node)"""
+
+
+@query(
+    "ent_03_merge_sources",
+    _MERGE_SCAN
+    + """, r as (select x.*, coalesce(leader, record_id) as leader from discovery_results x left join led on x.record_id = led.node),
+ m as (select leader, count(*) - 1 as duplicates, arg_min(raw_phone, record_id) filter (where raw_phone <> '') as raw_phone, arg_min(raw_website, record_id) filter (where raw_website <> '') as raw_website,
+  arg_min(raw_email, record_id) filter (where raw_email <> '') as raw_email, max(quality_score) filter (where record_id = leader) as q from r group by leader)
+ select leader as record_id, raw_phone, raw_website, raw_email, cast(case when duplicates = 0 then q else least(100, q + 5 * duplicates) end as int) as quality_score, duplicates from m""",
+)
 def _(t):
     return res.merge_sources(t.discovery_results).select("record_id", "raw_phone", "raw_website", "raw_email", "quality_score", "duplicates")
 
 
-@query("ent_04_leaders")
+@query("ent_04_leaders", f"with recursive {_NAME_PAIRS}, {_LEADER_SCAN} select node, leader from led")
 def _(t):
     from tessera.operators.graphs import leaders_by_pairs
 

@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tessera.operators import fuzzy
+from tessera.operators import fuzzy, graphs
 from tessera.operators.fuzzy import fuzzy_name_pairs
 from tessera.operators.graphs import connected_components, leaders_by_keys, leaders_by_pairs
 
@@ -123,8 +123,7 @@ def test_components_equal_a_fixpoint(spark):
     assert {r.node: r.component for r in got} == label
 
 
-@pytest.mark.parametrize("rounds,cap", [(50, 10), (1, 10), (1, 100000)])
-def test_leaders_by_pairs_equal_the_scan(spark, rounds, cap):
+def test_leaders_by_pairs_equal_the_scan(spark):
     rng = random.Random(5)
     pairs = set()
     for _ in range(260):
@@ -144,8 +143,6 @@ def test_leaders_by_pairs_equal_the_scan(spark, rounds, cap):
     got = leaders_by_pairs(
         spark.createDataFrame([(n,) for n in nodes], "node long"),
         spark.createDataFrame(sorted(pairs), "a long, b long"),
-        parallel_rounds=rounds,
-        finish_edges=cap,
     ).collect()
     assert {r.node: r.leader for r in got} == want
 
@@ -168,3 +165,20 @@ def test_leaders_by_keys_equal_the_scan(spark):
             owner.update({k: node for _, k in mine})
     got = leaders_by_keys(spark.createDataFrame(rows, "node long, priority int, key string")).collect()
     assert {r.node: r.leader for r in got} == want
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 10,000 links is decided by doubling pointers, for pairs and for keys alike."""
+    n, rounds = 10_000, []
+    plain = graphs.cut_lineage
+    monkeypatch.setattr(graphs, "cut_lineage", lambda df: rounds.append(1) or plain(df))
+    ids = spark.range(n)
+    pairs = ids.filter("id > 0").selectExpr("id - 1 as a", "id as b")
+    got = leaders_by_pairs(ids.toDF("node"), pairs)
+    assert got.filter("leader <> node - node % 2").isEmpty() and got.count() == n
+    assert len(rounds) < 25
+    rounds.clear()
+    keys = ids.selectExpr("id as node", "1 as priority", "concat('k', id) as key").union(ids.selectExpr("id", "2", "concat('k', id + 1)"))
+    got = leaders_by_keys(keys)
+    assert got.filter("leader <> node - node % 2").isEmpty() and got.count() == n
+    assert len(rounds) < 25
