@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
@@ -37,6 +38,20 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGE_SCHEMA).parquet(path)
 
 
+CANONICAL = r"""(?i)<link\s+rel=["']canonical["']\s+href=["']([^"']*)["']"""
+
+
+def read_landed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Pages (source, page_id, url, html) of landed text files, a page a line, in one folder per source.
+
+    The page's canonical link names it; page_id is a hash of it (of the page where it has none). Spark's own reader
+    lists and splits the files, in any store it knows.
+    """
+    lines = spark.read.schema("value string, source string").text(path)
+    url = F.nullif(F.regexp_extract("value", CANONICAL, 1), F.lit(""))
+    return lines.select("source", F.xxhash64(F.coalesce(url, "value")).alias("page_id"), url.alias("url"), F.col("value").alias("html"))
+
+
 class _Flattener(HTMLParser):
     """Elements and text pieces of one page in document order; ``last`` closes an element's range."""
 
@@ -88,15 +103,29 @@ def _flatten(html: str | None) -> list[dict]:
     return flat.done()
 
 
-def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes = pa.array([_flatten(h) for h in batch.column("html").to_pylist()], type=NODE_TYPE)
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), nodes], ["page_id", "url", "nodes"])
+#: Nodes that are gathered before they leave as a batch (a page's at least), so that memory does not grow with a batch's pages.
+NODES_AT_ONCE = 50_000
 
 
-def page_nodes(pages: DataFrame) -> DataFrame:
+def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = batch.select([c for c in batch.schema.names if c != "html"])
+        start, some, held = 0, [], 0
+        for i, html in enumerate(batch.column("html")):
+            some.append(_flatten(html.as_py()))
+            held += len(some[-1])
+            if held >= NODES_AT_ONCE or i + 1 == batch.num_rows:
+                rows = kept.slice(start, len(some))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(some, type=NODE_TYPE)], [*rows.schema.names, "nodes"])
+                start, some, held = i + 1, [], 0
+
+
+def page_nodes(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, url, nodes): node n of a page sits at position n of its list, its content up to ``last``.
 
-    The only step that leaves the JVM; sections, blocks, cards and links are then array expressions.
+    The only step that leaves the JVM; sections, blocks, cards and links are then array expressions. Columns named in
+    ``keep`` stay before ``nodes``.
     """
-    return pages.select("page_id", "url", "html").mapInArrow(_flatten_batches, NODE_SCHEMA)
+    more = "".join(f"{c} {pages.schema[c].dataType.simpleString()}, " for c in keep)
+    schema = NODE_SCHEMA.replace("nodes array", f"{more}nodes array")
+    return pages.select("page_id", "url", *keep, "html").mapInArrow(_flatten_batches, schema)

@@ -1,10 +1,15 @@
 """Exports, appends, upserts on files and run records."""
 from __future__ import annotations
 
+import threading
+import time
 import uuid
+from collections.abc import Callable
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tessera.operators.sets import upsert
 
@@ -124,4 +129,83 @@ RUN_SCHEMA = (
 def log_run(spark: SparkSession, path: str, run: dict) -> None:
     """Append one run record (task, status, version, duration, confidence, warnings, errors, metrics)."""
     row = {"warnings": [], "errors": [], "metrics": {}, "confidence": None, "version": "1", **run}
+    row.setdefault("ts", datetime.now(timezone.utc))
     spark.createDataFrame([row], RUN_SCHEMA).write.mode("append").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The run records of a log."""
+    return spark.read.schema(RUN_SCHEMA).parquet(path)
+
+
+def _record(task: str, began: float, error: Exception | None, metrics: dict[str, object], warnings: list[str] | None) -> dict:
+    numbers = {k: float(v) for k, v in metrics.items() if v is not None}
+    status, errors = ("failed", [f"{type(error).__name__}: {error}"[:1000]]) if error else ("success", [])
+    return {"task": task, "status": status, "duration_sec": time.time() - began, "metrics": numbers, "errors": errors, "warnings": warnings or []}
+
+
+def run_logged(
+    rows: DataFrame, path: str, task: str, action: Callable[[DataFrame], object], metrics: dict[str, Column], warnings: list[str] | None = None
+) -> bool:
+    """Run ``action`` on ``rows`` and append its run record; a failure is recorded, not raised. Whether it succeeded.
+
+    The metrics are aggregates observed while the action runs, so nothing is computed twice; a failed run has none.
+    """
+    seen, began, error = Observation(task), time.time(), None
+    watched = rows.observe(seen, *(c.alias(k) for k, c in metrics.items()))
+    try:
+        action(watched)
+    except Exception as e:  # the record is where a failed run is looked for
+        error = e
+    log_run(rows.sparkSession, path, _record(task, began, error, {} if error else seen.get, warnings))
+    return error is None
+
+
+class _Progress(StreamingQueryListener):
+    """Sums the metrics that micro-batches observe under one name, and knows which queries have ended."""
+
+    def __init__(self, name: str, metrics: list[str]):
+        self.name, self.batches, self.total = name, 0, dict.fromkeys(metrics, 0.0)
+        self.ended: set[str] = set()
+        self.changed = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        observed = event.progress.observedMetrics.get(self.name)
+        if observed is not None and event.progress.numInputRows:
+            self.batches += 1
+            for k in self.total:
+                self.total[k] += float(observed[k] or 0)
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.ended.add(str(event.id))
+            self.changed.notify_all()
+
+
+def stream_logged(rows: DataFrame, path: str, task: str, start: Callable[[DataFrame], object], metrics: dict[str, Column]) -> bool:
+    """Run a stream to its end and append its run record: summed metrics of its micro-batches and their number.
+
+    ``start`` starts the watched stream (with a trigger that ends) and returns the query; metrics are counts or sums. A listener
+    hears of every micro-batch, however many there are, and of the end after the last of them.
+    """
+    spark, began, error = rows.sparkSession, time.time(), None
+    heard = _Progress(f"{task}-{uuid.uuid4().hex}", list(metrics))
+    spark.streams.addListener(heard)
+    try:
+        running = start(rows.observe(heard.name, *(c.alias(k) for k, c in metrics.items())))
+        try:
+            running.awaitTermination()
+        except Exception as e:
+            error = e
+        with heard.changed:
+            heard.changed.wait_for(lambda: str(running.id) in heard.ended, timeout=60)
+    finally:
+        spark.streams.removeListener(heard)
+    log_run(spark, path, _record(task, began, error, heard.total | {"batches": heard.batches}, None))
+    return error is None
