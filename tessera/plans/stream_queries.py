@@ -6,7 +6,6 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import resolution as res
 from tessera.operators.aggregates import with_health
 from tessera.plans.business_queries import _attempts, _component_events, _progress
 from tessera.plans.catalog import ORACLES, query
@@ -129,23 +128,10 @@ def _(t):
 
 @query("str_10_ingest_stream")
 def _(t):
-    """New records flow through the load job batch by batch; each batch writes to its own folder."""
+    """All records flow through the load job, batch by batch; each batch knows the companies that earlier ones opened."""
     root = f"{checkpoint_dir(t.spark)}/ingest-{uuid.uuid4().hex}"
-    companies = t.companies
-
-    def apply(rows: DataFrame, batch: int) -> None:
-        res.ingest_results(rows, companies).write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
-
-    suppliers = StreamTables(t, files=2).supplier
-    records = t.spark.sql(
-        VIEWS["discovery_results"].split("union all")[-1].replace(
-            "select s_suppkey * 4 + 3, s_suppkey % 11 + 1, 'mca',", "select s_suppkey * 4 + 3 as record_id, s_suppkey % 11 + 1 as job_id, 'mca' as source,"
-        ),
-        supplier=suppliers,
-    )
-    names = ["record_id", "job_id", "source", "raw_name", "raw_phone", "raw_email", "raw_website", "raw_address", "category", "gstin", "cin", "platform", "quality_score", "created_at"]
-    jobs.ingest_stream(records.toDF(*names), apply, f"{root}/state").awaitTermination()
-    return t.spark.read.parquet(f"{root}/rows").select("record_id", "company_id", "new_company_of", "result_type", "confidence", "reason")
+    jobs.ingest_stream(StreamTables(t, files=2).discovery_results, t.companies, root).awaitTermination()
+    return jobs.ingested(t.spark, t.companies, root)
 
 
 # ---- dumps and plug-in sources over rows of the landed tables -------------------------------------

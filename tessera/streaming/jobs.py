@@ -2,14 +2,16 @@
 from __future__ import annotations
 
 from bisect import bisect_right, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators.aggregates import STAGES, provider_totals, source_totals, with_reliability
 from tessera.operators.filters import COMPONENT_HOURS, DEFAULT_HOURS
+from tessera.operators.resolution import ingest_results
+from tessera.session import cut_lineage
 
 # Next stage after each completed one; anything else ends at the last stage.
 NEXT_STAGE = {
@@ -312,11 +314,46 @@ def batch_freshness(events: DataFrame) -> DataFrame:
     return joined.select(*keys, "request_id", F.when(hit, "hit").otherwise("miss").alias("outcome"))
 
 
-def ingest_stream(
-    stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str
-):
-    """Run a load flow on every micro-batch; ``apply`` gets the rows and the batch id and must be
-    idempotent per id (write to a folder named after it). Returns the started query."""
-    return (
-        stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_batch(records: DataFrame, companies: DataFrame, root: str, batch: int, first_new_id: int) -> None:
+    """Load one micro-batch into ``root``: its rows, and the companies that it opens, in folders named by the batch id.
+
+    The batch meets the given companies and those that earlier batches opened, and nothing else: a batch that is run again, also
+    after later ones, reads the same state and writes the same folders. A company opened for record r has the id
+    ``first_new_id`` + r, so known companies come first among equals.
+    """
+    spark = records.sparkSession
+    known = companies.select("company_id", "phone", "website_url", "name")
+    if batch > 0:
+        earlier = spark.read.schema(OPENED_SCHEMA + ", batch long").parquet(f"{root}/opened").filter(F.col("batch") < batch)
+        known = known.unionByName(earlier.select(*known.columns))
+    records = cut_lineage(records)
+    load = cut_lineage(ingest_results(records, known))
+    load.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
+    opened = records.join(load.filter("result_type = 'NEW'").select("record_id"), "record_id").select(
+        (F.col("record_id") + first_new_id).alias("company_id"), F.col("raw_phone").alias("phone"), F.col("raw_website").alias("website_url"), F.col("raw_name").alias("name")
+    )
+    opened.write.mode("overwrite").parquet(f"{root}/opened/batch={batch}")
+
+
+OPENED_SCHEMA = "company_id long, phone string, website_url string, name string"
+
+
+def ingest_stream(stream: DataFrame, companies: DataFrame, root: str):
+    """Load a stream of records, each micro-batch after the ones before it (see :func:`ingest_batch`). Returns the started query."""
+    first_new_id = companies.agg(F.coalesce(F.max("company_id"), F.lit(-1)) + 1).first()[0]
+
+    def apply(rows: DataFrame, batch: int) -> None:
+        ingest_batch(rows, companies, root, batch, first_new_id)
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+
+
+def ingested(spark: SparkSession, companies: DataFrame, root: str) -> DataFrame:
+    """All loaded records, shaped like :func:`ingest_results`: ``new_company_of`` names the record that opened a new company."""
+    first_new_id = companies.agg(F.coalesce(F.max("company_id"), F.lit(-1)) + 1).first()[0]
+    new = F.col("company_id") >= first_new_id
+    rows = spark.read.parquet(f"{root}/rows")
+    return rows.select(
+        "record_id", F.when(~new, F.col("company_id")).alias("company_id"),
+        F.when(new, F.col("company_id") - first_new_id).otherwise(F.col("new_company_of")).alias("new_company_of"), "result_type", "confidence", "reason",
     )
