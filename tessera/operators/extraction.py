@@ -271,9 +271,9 @@ def rank_links(links: DataFrame, n: int = 4, by: str = "site") -> DataFrame:
     return ranked.select(by, "rank", "path", "link", "priority")
 
 
-def audit_pages_pick(links: DataFrame, n: int = 2) -> DataFrame:
-    """The ``n`` shortest links of each page that lead to about, service or solution pages of the same site."""
-    fit = links.filter(F.col("link").rlike("about|service|solution|practice-areas"))
+def audit_pages_pick(links: DataFrame, n: int = 2, words: str = "about|service|solution|practice-areas") -> DataFrame:
+    """The ``n`` shortest links of each page whose address has one of ``words``: about, service or solution pages of the same site."""
+    fit = links.filter(F.col("link").rlike(words))
     return top_n_per(
         fit.select("page_id", "link"), ["page_id"], [F.length("link").asc(), F.asc("link")], n, rank="rank"
     )

@@ -86,9 +86,11 @@ def _sql_contacts(source: str, key: str, text: str) -> str:
     # a list with its first places, distinct: the smallest place per value
     return f"""
 e as (select {key}, lower(unnest(regexp_extract_all({text}, $${rules.EMAIL_PATTERN}$$, 0))) as value, generate_subscripts(regexp_extract_all({text}, $${rules.EMAIL_PATTERN}$$, 0), 1) as i from {source}),
+w as (select {key}, regexp_replace(unnest(regexp_extract_all({text}, $$(?i)wa\.me/(\+?[0-9][0-9\s\-]*)$$, 1)), '\s', '', 'g') as value, generate_subscripts(regexp_extract_all({text}, $$(?i)wa\.me/(\+?[0-9][0-9\s\-]*)$$, 1), 1) as i from {source}),
 p as (select {key}, trim(unnest(regexp_extract_all({text}, $${rules.PHONE_PATTERN}$$, 0))) as value, generate_subscripts(regexp_extract_all({text}, $${rules.PHONE_PATTERN}$$, 0), 1) as i from {source}),
 f as (select {key}, 'email' as kind, value, min(i) as i from e group by 1, 3 union all
-  select {key}, 'phone', value, min(i) from p where length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7 group by 1, 3),
+  select {key}, 'phone', value, min(i) from p where length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7 group by 1, 3 union all
+  select {key}, 'whatsapp', value, min(i) from w group by 1, 3),
 contacts_found as (select {key}, kind, value, case when kind = 'email' then case when split_part(value, '@', 1) in {sql_in(rules.GENERIC_EMAILS)} then 'generic' else 'personal' end end as class,
   cast(row_number() over (partition by {key}, kind order by i) - 1 as int) as pos from f)"""
 
@@ -98,14 +100,22 @@ def _(t):
     return ext.extract_contacts(t.documents)
 
 
+#: Every fourth page with a WhatsApp link.
+_WHATSAPPED = """(select page_id, url, html || case when page_id % 4 = 0 then '<a href="https://wa.me/9198' || (76543210 + page_id % 5) || '">chat</a>' else '' end as html from pages)"""
+
+
+def _whatsapped(t):
+    link = F.concat(F.lit('<a href="https://wa.me/9198'), (F.col("page_id") % 5 + 76543210).cast("string"), F.lit('">chat</a>'))
+    return t.pages.withColumn("html", F.concat("html", F.when(F.col("page_id") % 4 == 0, link).otherwise("")))
+
+
 @query(
     "agg_18_site_contacts",
-    f"""with {_sql_contacts('pages', 'page_id', 'html')} select site, kind, value, arg_min(class, page_id * 100000 + pos) as class, min(page_id) as first_page from contacts_found
+    f"""with {_sql_contacts(_WHATSAPPED, 'page_id', 'html')} select site, kind, value, arg_min(class, page_id * 100000 + pos) as class, min(page_id) as first_page from contacts_found
   join (select page_id, {sql_host("url")} as site from pages) using (page_id) group by site, kind, value""",
 )
 def _(t):
-    found = ext.extract_contacts(t.pages, "page_id", "html").filter("kind <> 'whatsapp'")
-    return ext.site_contacts(found, t.pages)
+    return ext.site_contacts(ext.extract_contacts(_whatsapped(t), "page_id", "html"), t.pages)
 
 
 @query(
@@ -187,10 +197,7 @@ def _(t):
   where {_INTERNAL} and regexp_matches(link, 'the|and|about|service')) where rank <= 2""",
 )
 def _(t):
-    from tessera.operators.skew import top_n_per
-
-    fit = ext.page_links(t.pages).filter(F.col("link").rlike("the|and|about|service")).select("page_id", "link")
-    return top_n_per(fit, ["page_id"], [F.length("link").asc(), F.asc("link")], 2, rank="rank")
+    return ext.audit_pages_pick(ext.page_links(t.pages), 2, "the|and|about|service")
 
 
 @query("ext_20_about_links", f"with {_LINKS.replace('from pages', 'from ' + SNIPPED)} select page_id, link, cast(rank as int) as rank from (select page_id, link, row_number() over (partition by page_id order by length(link), link) as rank from links where {_INTERNAL} and regexp_matches(link, 'about|service|solution|practice-areas')) where rank <= 2")
@@ -198,14 +205,49 @@ def _(t):
     return ext.audit_pages_pick(ext.page_links(_snipped(t)))
 
 
-@query("ext_10_person_candidates")
+#: Blocks and footers appended to the given pages by page_id, each with what the rules make of it.
+PEOPLE = (
+    (
+        """<section class="our-team"><div class="team-member"><img src="a.png"><h3>Anita Sharma</h3><p>Managing Director</p>"""
+        """<a href="https://www.linkedin.com/in/anita">in</a><a href="mailto:anita@acme.in">mail</a></div><div class="team-member"><h3>Rahul Verma</h3></div></section>""",
+        (("Anita Sharma", "Managing Director", "TEAM_SECTION", 150, None), ("Rahul Verma", None, "TEAM_SECTION", 65, None), ("Anita", "", "LINKEDIN_PROFILE", 20, "LOW_SCORE")),
+    ),
+    ("""<div class="leadership"><div class="director-box"><h4>Cloud Platform</h4><p>Chief Officer</p></div></div>""", (("Cloud Platform", "Chief Officer", "LEADERSHIP_SECTION", -100, "PRODUCT_NAME"),)),
+    ("""<div class="services team"><h3>Anita Sharma</h3><p>Managing Director</p></div>""", (("Anita Sharma", "Managing Director", "FALLBACK_RELATIONSHIP_SCAN", 40, None),)),
+    ("", ()),
+)
+FEET = (
+    (
+        """<footer><a href="mailto:info%40acme.in?subject=x">m</a><a href="tel:+91 2012345678">t</a><a href="https://wa.me/91">w</a><a href="/contact#map">c</a>"""
+        """<address>12 Long Road, Pune</address><a href="https://www.linkedin.com/company/acme">l</a></footer><a href="https://www.facebook.com/sharer?u=1">s</a>""",
+        (("EMAIL", "info@acme.in"), ("PHONE", "+91 2012345678"), ("WHATSAPP", "https://wa.me/91"), ("CONTACT_PAGE", "/contact"), ("ADDRESS", "12 Long Road, Pune"), ("LinkedIn", "https://www.linkedin.com/company/acme")),
+    ),
+    ("""<div class="site-footer"><a href="/get-in-touch">g</a><address>short</address></div><a href="mailto:outside@acme.in">o</a><a href="https://x.com/acme">x</a>""", (("CONTACT_PAGE", "/get-in-touch"), ("Twitter", "https://x.com/acme"))),
+    ("", ()),
+)
+
+
+def _planted(t, kinds):
+    """The given pages, each with one of the planted pieces of markup appended."""
+    piece = F.get(F.array(*[F.lit(html) for html, _ in kinds]), (F.col("page_id") % len(kinds)).cast("int"))
+    return t.pages.withColumn("html", F.concat("html", piece))
+
+
+def _planted_sql(kinds, columns: str) -> str:
+    """What the planted pieces give, for every page that got them."""
+    lit = lambda v: "null" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {', '.join(map(lit, row))})" for k, (_, found) in enumerate(kinds) for row in found)
+    return f"select page_id, {columns} from pages join (values {rows}) v(k, {columns}) on page_id % {len(kinds)} = k"
+
+
+@query("ext_10_person_candidates", _planted_sql(PEOPLE, "name, title, section_type, score, reject_reason"))
 def _(t):
-    return ext.person_candidates(page_nodes(t.pages)).select("page_id", "name", "title", "section_type", "score", "reject_reason")
+    return ext.person_candidates(page_nodes(_planted(t, PEOPLE))).select("page_id", "name", "title", "section_type", "score", "reject_reason")
 
 
-@query("ext_11_footer_contacts")
+@query("ext_11_footer_contacts", _planted_sql(FEET, "kind, value"))
 def _(t):
-    return ext.footer_contacts(page_nodes(t.pages))
+    return ext.footer_contacts(page_nodes(_planted(t, FEET))).select("page_id", "kind", "value")
 
 
 @query(
@@ -234,25 +276,43 @@ def _(t):
 
 
 def _documents(t):
-    """Site documents of the crawled pages: the first page's parts stand for the site."""
+    """Site documents of all crawled pages: the first title and hero that there is, all distinct titles and headings in page order.
+
+    Each distinct text of a site is one row until the last step, whatever the number of pages it is on. Signals, footer, industry
+    and business model are what other jobs give; here they are constants.
+    """
     meta = ext.page_meta(t.pages)
-    m = meta.select(ext.site_of().alias("site"), "page_id", "url", "title", "description", F.col("h1").alias("hero"), "headings")
-    first = m.groupBy("site").agg(F.min_by(F.struct("url", "title", "description", "hero", "headings"), "page_id").alias("r"))
+    m = meta.select(ext.site_of().alias("site"), "page_id", "url", "title", F.col("h1").alias("hero"), "description", "headings")
+    filled = lambda c: F.min_by(c, F.when(F.length(c) > 0, F.col("page_id"))).alias(c)
+    first = m.groupBy("site").agg(F.min_by("url", "page_id").alias("url"), filled("title"), filled("hero"), filled("description"))
+
+    def in_order(rows, text: str, place):
+        once = rows.groupBy("site", text).agg(F.min(place).alias("place"))
+        listed = F.array_sort(F.collect_list(F.struct("place", text)))
+        return once.groupBy("site").agg(F.transform(listed, lambda x: x[text]).alias(f"{text}s"))
+
+    titles = in_order(m.filter("title <> ''"), "title", F.col("page_id"))
+    headings = in_order(m.select("site", "page_id", F.posexplode("headings").alias("pos", "heading")), "heading", F.struct("page_id", "pos"))
     tech = ext.detect_technology(t.pages).groupBy("site").agg(F.array_sort(F.collect_set("technology")).alias("technology"))
-    d = first.select("site", "r.*").join(tech, "site", "left")
+    d = first.join(titles, "site", "left").join(headings, "site", "left").join(tech, "site", "left")
+    listed = F.coalesce("headings", F.array().cast("array<string>"))
     return d.select(
-        "site", "url", "title", "description", "hero", F.col("title").alias("about"), F.col("headings").alias("services"), F.col("headings").alias("products"),
+        "site", "url", "title", "description", "hero", F.array_join("titles", ". ").alias("about"), listed.alias("services"), listed.alias("products"),
         "technology", F.array(F.lit("WhatsApp"), F.lit("Book Demo")).alias("business_signals"), F.lit("contact form").alias("footer"),
         F.lit("Healthcare").alias("industry"), F.lit("Unknown").alias("business_model"),
     )
 
 
-# the same documents in SQL: parts of each site's first page
+# the same documents in SQL
 _DOCS = f"""
 pg as (select page_id, {sql_host("url")} as site, url, {sql_first(TITLE)} as title, {sql_first(H1)} as hero,
    list_filter(list_transform(regexp_extract_all(html, $$(?is)<h[123][^>]*>(.*?)</h[123]>$$, 1), lambda h: {sql_strip("h")}), lambda h: length(h) between 4 and 149) as hs from pages),
+hd as (select site, h, min(page_id * 100000 + i) as o from (select site, page_id, unnest(hs) as h, generate_subscripts(hs, 1) as i from pg) group by site, h),
+hl as (select site, list(h order by o) as hs from hd group by site),
+tl as (select site, string_agg(title, '. ' order by o) as about from (select site, title, min(page_id) as o from pg where title <> '' group by 1, 2) group by site),
 tc as (select {sql_host("url")} as site, {", ".join(f"bool_or({sql_any('lower(html)', words)}) as t{i}" for i, words in enumerate(rules.TECH_SIGNATURES.values()))} from pages group by 1),
-docs as (select pg.*, tc.* exclude (site) from (select *, row_number() over (partition by site order by page_id) as rn from pg) pg join tc using (site) where rn = 1)
+fp as (select site, arg_min(url, page_id) as url, arg_min(title, page_id) filter (where title <> '') as title, arg_min(hero, page_id) filter (where hero <> '') as hero from pg group by site),
+docs as (select fp.*, about, coalesce(hs, []) as hs, tc.* exclude (site) from fp left join hl using (site) left join tl using (site) join tc using (site))
 """
 
 
@@ -263,32 +323,28 @@ def _uses(*names: str) -> str:
 
 @query(
     "prj_12_profile_text",
-    f"""with {_DOCS} select site, trim(substr(concat_ws('. ', title, hero, substr(title, 1, 400), case when len(hs) > 0 then array_to_string(list_transform(hs[1:2], lambda h: substr(h, 1, 200)), '. ') end), 1, 1800)) as classification_text,
-  substr(concat_ws('. ', title, hero, substr(title, 1, 300), 'Industry: Healthcare'), 1, 512) as profile_text,
-  substr(concat_ws('. ', case when len(hs) > 0 then array_to_string(list_transform(hs[1:5], lambda h: substr(h, 1, 100)), '. ') end, case when len(hs) > 0 then array_to_string(list_transform(hs[1:3], lambda h: substr(h, 1, 100)), '. ') end), 1, 512) as services_text from docs""",
+    f"""with {_DOCS} select site, trim(concat_ws('. ', title, hero, about, case when len(hs) > 0 then array_to_string(hs, '. ') end)) as classification_text,
+  concat_ws('. ', title, hero, about, 'Industry: Healthcare') as profile_text,
+  concat_ws('. ', case when len(hs) > 0 then array_to_string(hs, '. ') end, case when len(hs) > 0 then array_to_string(hs, '. ') end) as services_text from docs""",
 )
 def _(t):
-    # the budgets of the twin
-    return prj.profile_text(
-        _documents(t), classification_about=400, classification_services=(2, 200), classification_chars=1800, profile_about=300,
-        profile_chars=512, services=(5, 100), products=(3, 100), services_chars=512,
-    )
+    return prj.profile_text(_documents(t))
 
 
-_SIZE_TEXT = "lower(concat_ws(' ', title, hero, array_to_string(hs, ' ')))"
+_SIZE_TEXT = "lower(concat_ws(' ', about, hero, array_to_string(hs, ' ')))"
 
 
 @query(
     "ext_16_company_profile",
     f"""with {_DOCS} select site, case {" ".join(f"when {sql_any(_SIZE_TEXT, words)} then '{tier}'" for tier, _, words in rules.SIZE_TIERS)} when {_uses("HubSpot", "Salesforce")} then 'Mid-Market'
   when {_uses("Shopify", "WooCommerce", "WordPress")} then 'Small Business' else 'Unknown' end as company_size,
-  case when length(title) > 30 then substr(title, 1, 500) when hero <> '' then substr(hero, 1, 300) else '' end as description,
-  case when regexp_matches(lower(concat_ws(' ', title, hero)), 'enterprise|corporate') then 'Enterprise clients' when regexp_matches(lower(concat_ws(' ', title, hero)), 'small business|smb') then 'Small and medium businesses'
-   when regexp_matches(lower(concat_ws(' ', title, hero)), 'student|learner') then 'Students and learners' when regexp_matches(lower(concat_ws(' ', title, hero)), 'patient|healthcare') then 'Patients and healthcare seekers'
+  case when length(about) > 30 then about when hero <> '' then hero else '' end as description,
+  case when regexp_matches(lower(concat_ws(' ', about, hero)), 'enterprise|corporate') then 'Enterprise clients' when regexp_matches(lower(concat_ws(' ', about, hero)), 'small business|smb') then 'Small and medium businesses'
+   when regexp_matches(lower(concat_ws(' ', about, hero)), 'student|learner') then 'Students and learners' when regexp_matches(lower(concat_ws(' ', about, hero)), 'patient|healthcare') then 'Patients and healthcare seekers'
    else 'General consumers and businesses' end as target_audience from docs""",
 )
 def _(t):
-    return ext.company_profile(_documents(t), about_chars=500, hero_chars=300).select("site", "company_size", "description", "target_audience")
+    return ext.company_profile(_documents(t)).select("site", "company_size", "description", "target_audience")
 
 
 @query(
@@ -344,7 +400,7 @@ def _(t):
 
 @query(
     "scr_10_quick_audit",
-    f"""with {_DOCS}, q as (select site, url like 'https://%' as ssl_enabled, coalesce(length(title) > 5, false) as ti, coalesce(length(hero) > 3, false) as h, coalesce(length(title) > 100, false) as ab, len(hs) > 0 as sv,
+    f"""with {_DOCS}, q as (select site, url like 'https://%' as ssl_enabled, coalesce(length(title) > 5, false) as ti, coalesce(length(hero) > 3, false) as h, coalesce(length(about) > 100, false) as ab, len(hs) > 0 as sv,
    {_uses("React", "Next.js", "Angular", "Shopify")} as mobile_friendly, {_uses("HubSpot")} as has_crm, {_uses("Google Analytics", "Meta Pixel")} as has_analytics from docs)
  select site, ssl_enabled, cast(least(100, case when ti then 30 else 0 end + case when h then 25 else 0 end + case when ab then 10 else 0 end + case when sv then 10 else 0 end) as int) as seo_score, mobile_friendly,
   true as has_whatsapp_widget, true as has_contact_form, true as has_booking_system, has_crm, has_analytics,

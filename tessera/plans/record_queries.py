@@ -409,20 +409,33 @@ def _(t):
 _DIRECTORIES = ("spam-farm.example.org", "example.net")
 
 
+#: Every third page as a directory's page that links its own host, a store, a known directory and the listed business.
+_LISTINGS = """(select page_id, case when page_id % 3 = 0 then 'https://www.example.net/biz/' || page_id else url end as url,
+  html || '<a href="https://www.example.net/top">top</a><a href="https://play.google.com/app">app</a><a href="http://spam-farm.example.org/x">more</a><a href="https://shop' || page_id || '.example.com/home">site</a>' as html from pages)"""
+
+
 @query(
     "flt_05_official_site",
     f"""
 with l as (
   select page_id, {sql_host("url")} as own, unnest(regexp_extract_all(html, 'href=["''](https?://[^"'']+)["'']', 1)) as link,
          generate_subscripts(regexp_extract_all(html, 'href=["''](https?://[^"'']+)["'']', 1), 1) as pos
-  from pages where {_listed(sql_host("url"), _DIRECTORIES)}
+  from {_LISTINGS} where {_listed(sql_host("url"), _DIRECTORIES)}
 ), h as (select *, {sql_host("link")} as lh from l)
 select page_id, arg_min(link, pos) as url from h where lh is not null and not contains(own, lh)
   and not regexp_matches(lh, 'google|apple|android') and not ({_listed("lh", _DIRECTORIES)}) group by page_id
 """,
 )
 def _(t):
-    return flt.official_site(t.pages, flt.word_table(t.spark, _DIRECTORIES))
+    pages = t.pages.select(
+        "page_id",
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www.example.net/biz/"), F.col("page_id").cast("string"))).otherwise(F.col("url")).alias("url"),
+        F.concat(
+            "html", F.lit('<a href="https://www.example.net/top">top</a><a href="https://play.google.com/app">app</a><a href="http://spam-farm.example.org/x">more</a><a href="https://shop'),
+            F.col("page_id").cast("string"), F.lit('.example.com/home">site</a>'),
+        ).alias("html"),
+    )
+    return flt.official_site(pages, flt.word_table(t.spark, _DIRECTORIES))
 
 
 _D = sql_digits("raw_phone")
