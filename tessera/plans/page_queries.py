@@ -86,7 +86,7 @@ def _sql_contacts(source: str, key: str, text: str) -> str:
     # a list with its first places, distinct: the smallest place per value
     return f"""
 e as (select {key}, lower(unnest(regexp_extract_all({text}, $${rules.EMAIL_PATTERN}$$, 0))) as value, generate_subscripts(regexp_extract_all({text}, $${rules.EMAIL_PATTERN}$$, 0), 1) as i from {source}),
-w as (select {key}, regexp_replace(unnest(regexp_extract_all({text}, $$(?i)wa\.me/(\+?[0-9][0-9\s\-]*)$$, 1)), '\s', '', 'g') as value, generate_subscripts(regexp_extract_all({text}, $$(?i)wa\.me/(\+?[0-9][0-9\s\-]*)$$, 1), 1) as i from {source}),
+w as (select {key}, regexp_replace(unnest(regexp_extract_all({text}, $$(?i)wa\\.me/(\\+?[0-9][0-9\\s\\-]*)$$, 1)), '\\s', '', 'g') as value, generate_subscripts(regexp_extract_all({text}, $$(?i)wa\\.me/(\\+?[0-9][0-9\\s\\-]*)$$, 1), 1) as i from {source}),
 p as (select {key}, trim(unnest(regexp_extract_all({text}, $${rules.PHONE_PATTERN}$$, 0))) as value, generate_subscripts(regexp_extract_all({text}, $${rules.PHONE_PATTERN}$$, 0), 1) as i from {source}),
 f as (select {key}, 'email' as kind, value, min(i) as i from e group by 1, 3 union all
   select {key}, 'phone', value, min(i) from p where length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7 group by 1, 3 union all
