@@ -3,8 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tessera.functions import rules
 from tessera.functions.keys import compact, digits, host_key, points, present
@@ -976,23 +978,43 @@ def merge_entities(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     return named.filter((F.col("score") > 0.7) & (F.size(F.split("name", " ")) >= 2))
 
 
+@F.pandas_udf(ArrayType(StructType().add("at", "integer").add("snippet", "string")))
+def _near_names(texts: pd.Series, lowered: pd.Series, names: pd.Series) -> pd.Series:
+    """Where each name first is in the lowered text (from 1; 0: nowhere), and the text around that place."""
+
+    def places(text: str | None, low: str | None, wanted) -> list[dict]:
+        found = [0 if low is None else low.find(name) + 1 for name in wanted]
+        return [{"at": at, "snippet": text[max(at - 21, 0) : at + 149] if at else None} for at in found]
+
+    return pd.Series([places(*row) for row in zip(texts, lowered, names)], dtype=object)
+
+
 def persons_to_contacts(persons: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Persons with the title near their name, a decision-maker score and a category; one per name and text."""
-    j = persons.filter(F.length(F.trim("name")) >= 4).join(texts.select(key, text), key)
-    at = F.instr(F.lower(text), F.lower("name"))
-    snippet = F.substr(text, F.greatest(at - 20, F.lit(1)), F.least(at, F.lit(21)) + 149)
-    title = F.nullif(F.trim(F.regexp_extract(snippet, r"(?:–|-|,|\n)\s*([A-Z][a-zA-Z\s&,]{5,60}?)(?:\n|$)", 1)), F.lit(""))
-    rows = j.withColumn("title", F.when(at > 0, title))
+    """Persons with the title near their name, a decision-maker score and a category; one per name and text.
+
+    A text is lowered once and meets its persons as one list, so it is not copied for each of them.
+    """
+    firsts = persons.filter(F.length(F.trim("name")) >= 4).groupBy(key, F.lower("name").alias("name_key")).agg(
+        F.min_by(F.struct("name", "score"), "start").alias("r")
+    )
+    listed = firsts.groupBy(key).agg(F.collect_list(F.struct("name_key", "r.name", "r.score")).alias("people"))
+    once = texts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(text).alias("text"))
+    j = listed.join(once.withColumn("low", F.lower("text")), key)
+    # near and title are made before a generator, so they are not worked out again wherever they are used
+    j = j.withColumn("near", F.explode(F.array(_near_names("text", "low", F.col("people.name_key"))))).drop("text", "low")
+
+    def person(x: Column, place: Column) -> Column:
+        title = F.nullif(F.trim(F.regexp_extract(place["snippet"], r"(?:–|-|,|\n)\s*([A-Z][a-zA-Z\s&,]{5,60}?)(?:\n|$)", 1)), F.lit(""))
+        return F.struct(x["name"].alias("name"), F.when(place["at"] > 0, title).alias("title"), x["score"].alias("score"))
+
+    rows = j.select(key, F.inline(F.zip_with("people", "near", person)))
     leading = any_word(F.lower("title"), rules.LEADERSHIP_TITLES)
     score = F.when(leading, 80).when(F.col("title").isNotNull(), 50).otherwise(20)
     rows = rows.withColumn("decision_maker_score", score)
-    first = rows.groupBy(key, F.lower("name").alias("name_key")).agg(
-        F.min_by(F.struct("name", "title", "decision_maker_score", "score"), "start").alias("r")
-    )
-    return first.select(
-        key, "r.name", "r.title", "r.decision_maker_score",
-        F.when(F.col("r.decision_maker_score") >= 70, "LEADERSHIP").otherwise("TEAM").alias("category"),
-        F.floor(F.col("r.score") * 100 + 0.5).cast("int").alias("confidence"),
+    return rows.select(
+        key, "name", "title", "decision_maker_score",
+        F.when(F.col("decision_maker_score") >= 70, "LEADERSHIP").otherwise("TEAM").alias("category"),
+        F.floor(F.col("score") * 100 + 0.5).cast("int").alias("confidence"),
     )
 
 

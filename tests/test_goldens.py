@@ -293,6 +293,18 @@ def test_contacts_near_names(spark):
     assert (r.title, r.decision_maker_score, r.category, r.confidence) == ("Managing Director", 80, "LEADERSHIP", 90)
 
 
+def test_many_persons_of_one_text_read_it_once(spark):
+    text = "Énna Müller, xx\nAnn Lee\n" + "ann lee, Head of Sales\n" + "Bo Di - Chief Cook\n" * 50
+    people = [(1, 0, "Ann Lee", 0.9), (1, 9, "ANN LEE", 0.8), (1, 4, "Bo Di", 0.9), (1, 5, "nna Mü", 0.9), (1, 6, "Not There", 0.9), (1, 7, "B D", 0.9), (2, 0, "Ann Lee", 0.9)]
+    persons = spark.createDataFrame(people, "doc_id long, start int, name string, score double")
+    contacts = ext.persons_to_contacts(persons, spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"))
+    got = {(r.doc_id, r.name, r.title, r.decision_maker_score) for r in contacts.collect()}
+    assert got == {(1, "Ann Lee", "Ann Lee", 50), (1, "Bo Di", "Head of Sales", 80), (1, "nna Mü", "Ann Lee", 50), (1, "Not There", None, 20), (2, "Ann Lee", None, 20)}
+    # a text meets the list of its persons: no row of a join is made for each of them
+    joined = contacts._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
+    assert "collect_list" in joined and "lower(text" in joined
+
+
 def test_csv_export(spark, tmp_path):
     frame = spark.createDataFrame(
         [("Test Company, Inc.", "555-1234", "test@example.com", "test.com", "123 Main St\nSuite 100", "google_maps", "85", "new", None, None)],
