@@ -1,8 +1,9 @@
 """Structured Streaming jobs; each aggregate is the same function as its batch twin."""
 from __future__ import annotations
 
-from bisect import bisect_right, insort
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -179,78 +180,169 @@ DAY = 86_400_000_000  # microseconds
 FRESHNESS = "component string, domain string, kind string, request_id long, at long, outcome string, revision int"
 
 
+#: Rows of a key that are looked at together, and open misses in one value of its state.
+CHUNK = 20_000
+HOUR = DAY // 24
+
+
 class _Freshness(StatefulProcessor):
-    """Stored times and open misses of one (component, domain), in maps by day, for as long as rows are awaited."""
+    """What one (component, domain) still knows: the spans in which requests hit, and the open misses.
+
+    A result stored at s answers requests in [s, s + limit); what is kept is the union of these spans, which is one span as long as
+    results come within the limit of each other. Misses are kept by hour, in lists of bounded length; a moment becomes covered
+    once, so they are read again only where a span grows.
+    """
 
     def __init__(self, limits: dict[str, int], other: int, lateness: int):
         self.limits, self.other, self.lateness = limits, other, lateness
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.stored = handle.getMapState("stored", "day long", "at array<long>")
-        self.misses = handle.getMapState("misses", "day long", "at array<long>, request array<long>")
+        # spans by the day they begin in, cut at the ends of days; misses by hour and number of the list
+        self.spans = handle.getMapState("spans", "day long", "first array<long>, end array<long>")
+        self.misses = handle.getMapState("misses", "hour long, part int", "at array<long>, request array<long>")
+        self.parts = handle.getMapState("parts", "hour long", "parts int")
 
     def _limit(self, component: str | None) -> int:
         return self.limits.get(component, self.other)
 
-    def _of(self, state, day: int) -> list[list]:
-        return [list(x) for x in state.getValue((day,))] if state.containsKey((day,)) else [[], []]
-
-    def _keep(self, state, day: int, value: tuple, limit: int) -> None:
-        state.updateValue((day,), value)
-        self.handle.registerTimer(((day + 1) * DAY + limit + self.lateness) // 1000)
-
-    def _is_hit(self, at: int, limit: int) -> bool:
-        """Is a result stored in (at - limit, at]?"""
-        for day in range(at // DAY, (at - limit) // DAY - 1, -1):
-            times = self._of(self.stored, day)[0]
-            place = bisect_right(times, at)
-            if place and at - times[place - 1] < limit:
-                return True
-            if place:
-                return False
-        return False
+    def _day(self, known: dict, day: int) -> list[tuple[int, int]]:
+        if day not in known:
+            known[day] = list(zip(*self.spans.getValue((day,)))) if self.spans.containsKey((day,)) else []
+        return known[day]
+
+    def _cover(self, known: dict, stored: list[int], limit: int) -> list[tuple[int, int]]:
+        """Add the spans of stored results; the pieces that were not covered before."""
+        wanted = _union((s, s + limit) for s in stored)
+        fresh: list[tuple[int, int]] = []
+        for first, end in wanted:
+            for day in range(first // DAY, (end - 1) // DAY + 1):
+                piece = (max(first, day * DAY), min(end, (day + 1) * DAY))
+                old = self._day(known, day)
+                gaps = _minus(piece, old)
+                if gaps:
+                    fresh += gaps
+                    known[day] = _union([*old, *gaps])
+                    self.spans.updateValue((day,), ([x for x, _ in known[day]], [y for _, y in known[day]]))
+                    self._await((day + 1) * DAY)
+        return _union(fresh)
+
+    def _await(self, end: int) -> None:
+        self.handle.registerTimer((end + self.lateness) // 1000 + 1)
+
+    def _answered(self, fresh: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """Open misses in newly covered pieces, which are open no longer."""
+        hours: dict[int, list[tuple[int, int]]] = {}
+        for first, end in fresh:
+            for hour in range(first // HOUR, (end - 1) // HOUR + 1):
+                hours.setdefault(hour, []).append((first, end))
+        # few hours have open misses, so their list is read instead of asking for every covered hour
+        waiting = [k[0] for k in self.parts.keys()] if hours else []
+        for hour, pieces in ((h, hours[h]) for h in waiting if h in hours):
+            left = []
+            parts = self.parts.getValue((hour,))[0]
+            for part in range(parts):
+                for at, request in zip(*self.misses.getValue((hour, part))):
+                    if _inside(pieces, at):
+                        yield at, request
+                    else:
+                        left.append((at, request))
+                self.misses.removeKey((hour, part))
+            self.parts.removeKey((hour,))
+            self._open({hour: left})
+
+    def _open(self, by_hour: dict[int, list[tuple[int, int]]]) -> None:
+        for hour, rows in by_hour.items():
+            if not rows:
+                continue
+            part = self.parts.getValue((hour,))[0] if self.parts.containsKey((hour,)) else 0
+            if part:
+                # the last list is filled up first
+                last = list(zip(*self.misses.getValue((hour, part - 1))))
+                if len(last) < CHUNK:
+                    part, rows = part - 1, last + rows
+            for i in range(0, len(rows), CHUNK):
+                some = rows[i : i + CHUNK]
+                self.misses.updateValue((hour, part), ([a for a, _ in some], [r for _, r in some]))
+                part += 1
+            self.parts.updateValue((hour,), (part,))
+            self._await((hour + 1) * HOUR)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         limit, oldest = self._limit(key[0]), timerValues.getCurrentWatermarkInMs() * 1000 - self.lateness
-        give = lambda *x: Row("component", "domain", *FRESHNESS_FIELDS)(key[0], key[1], *x)
-        for row in rows:
-            at, day = row.at, None if row.at is None else row.at // DAY
-            if at is None:  # without a time nothing is known to be stored before it
-                if row.kind != "stored":
-                    yield give("request", row.request_id, None, "miss", 0)
-            elif at < oldest:
-                yield give(row.kind, row.request_id, at, "late", 0)
-            elif row.kind == "stored":
-                times = self._of(self.stored, day)[0]
-                insort(times, at)
-                self._keep(self.stored, day, (times,), limit)
-                for other in range(day, (at + limit) // DAY + 1):
-                    asked, requests = self._of(self.misses, other)
-                    hit = [at <= x < at + limit for x in asked]
-                    if any(hit):
-                        left = [(x, r) for x, r, h in zip(asked, requests, hit) if not h]
-                        self.misses.updateValue((other,), ([x for x, _ in left], [r for _, r in left]))
-                        for x, r in ((x, r) for x, r, h in zip(asked, requests, hit) if h):
-                            yield give("request", r, x, "hit", 1)
-            elif self._is_hit(at, limit):
-                yield give("request", row.request_id, at, "hit", 0)
-            else:
-                asked, requests = self._of(self.misses, day)
-                self._keep(self.misses, day, (asked + [at], requests + [row.request_id]), limit)
-                yield give("request", row.request_id, at, "miss", 0)
+        make = Row("component", "domain", *FRESHNESS_FIELDS)
+        give = lambda *x: make(key[0], key[1], *x)
+        known: dict[int, list[tuple[int, int]]] = {}
+        rows = iter(rows)
+        while some := list(islice(rows, CHUNK)):
+            stored, asked = [], []
+            for row in some:
+                at = row.at
+                if at is None:  # without a time nothing is known to be stored before it
+                    if row.kind != "stored":
+                        yield give("request", row.request_id, None, "miss", 0)
+                elif at < oldest:
+                    yield give(row.kind, row.request_id, at, "late", 0)
+                elif row.kind == "stored":
+                    stored.append(at)
+                else:
+                    asked.append((at, row.request_id))
+            for at, request in self._answered(self._cover(known, stored, limit)):
+                yield give("request", request, at, "hit", 1)
+            open_rows: dict[int, list[tuple[int, int]]] = {}
+            for at, request in asked:
+                hit = _inside(self._day(known, at // DAY), at)
+                if not hit:
+                    open_rows.setdefault(at // HOUR, []).append((at, request))
+                yield give("request", request, at, "hit" if hit else "miss", 0)
+            self._open(open_rows)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        day = (expiredTimerInfo.getExpiryTimeInMs() * 1000 - self._limit(key[0]) - self.lateness) // DAY - 1
-        for state in (self.stored, self.misses):
-            if state.containsKey((day,)):
-                state.removeKey((day,))
+        end = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 - self.lateness
+        for hour in range(-(-end // HOUR) - 2, -(-end // HOUR) + 1):
+            # rows of hours that ended before it can't be met any more
+            if (hour + 1) * HOUR <= end + 1000 and self.parts.containsKey((hour,)):
+                for part in range(self.parts.getValue((hour,))[0]):
+                    self.misses.removeKey((hour, part))
+                self.parts.removeKey((hour,))
+        for day in range(-(-end // DAY) - 2, -(-end // DAY) + 1):
+            if (day + 1) * DAY <= end + 1000 and self.spans.containsKey((day,)):
+                self.spans.removeKey((day,))
         return iter([])
 
     def close(self) -> None:
         pass
 
 
+def _union(spans) -> list[tuple[int, int]]:
+    """Disjoint spans [first, end) in order, over the same moments."""
+    out: list[tuple[int, int]] = []
+    for first, end in sorted(spans):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((first, end))
+    return out
+
+
+def _minus(piece: tuple[int, int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of a piece lies outside ordered disjoint spans."""
+    first, end = piece
+    out = []
+    for a, b in spans:
+        if b <= first or a >= end:
+            continue
+        if a > first:
+            out.append((first, a))
+        first = max(first, b)
+    return out + [(first, end)] if first < end else out
+
+
+def _inside(spans: list[tuple[int, int]], at: int) -> bool:
+    place = bisect_right(spans, at, key=lambda x: x[0])
+    return place > 0 and at < spans[place - 1][1]
+
+
 FRESHNESS_FIELDS = ["kind", "request_id", "at", "outcome", "revision"]
 
 
@@ -258,18 +350,17 @@ def freshness(events: DataFrame, lateness_hours: int = 24 * 7) -> DataFrame:
     """Hit or miss of every request against the last stored result of its (component, domain), in any order of arrival.
 
     ``events`` has component, domain, kind (``stored`` or ``request``), ts and request_id. A request is answered when it arrives;
-    a stored result that arrives after a request it precedes turns the miss into a hit, by a row of revision 1. State is one list
-    of times a day and key, dropped by a timer when the watermark is ``lateness_hours`` and the component's limit past the day. Rows
+    a stored result that arrives after a request it precedes turns the miss into a hit, by a row of revision 1. State is the spans
+    covered by stored results and the open misses, dropped by a timer when the watermark is ``lateness_hours`` past them. Rows
     older than that are not lost: they come out with outcome ``late``, and :func:`settled_freshness` judges them.
     """
     spark = events.sparkSession
     # maps and timers are kept by this store only
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    hour = DAY // 24
-    limits = {name: hours * hour for name, hours in COMPONENT_HOURS.items()}
+    limits = {name: hours * HOUR for name, hours in COMPONENT_HOURS.items()}
     # the time goes on as a number: rows behind the watermark would be filtered out by their timestamp
     rows = events.withWatermark("ts", "1 hour").select("component", "domain", "kind", "request_id", F.unix_micros("ts").alias("at"))
-    processor = _Freshness(limits, DEFAULT_HOURS * hour, lateness_hours * hour)
+    processor = _Freshness(limits, DEFAULT_HOURS * HOUR, lateness_hours * HOUR)
     return rows.groupBy("component", "domain").transformWithState(processor, FRESHNESS, "append", "EventTime")
 
 

@@ -131,3 +131,56 @@ def test_a_business_in_two_batches_opens_one_company(spark, tmp_path):
     assert got == want
     jobs.ingest_batch(spark.createDataFrame(second, RECORD), companies, root, 1, 6)
     assert {(r.record_id, r.company_id, r.new_company_of, r.result_type) for r in jobs.ingested(spark, companies, root).collect()} == want
+
+
+class _Held:
+    """Maps of a processor's state in memory; counts the values written to them."""
+
+    def __init__(self):
+        self.maps, self.written, self.watermark = {}, 0, 0
+
+    def getMapState(self, name, key, value):
+        held, own = self, self.maps.setdefault(name, {})
+
+        class Map:
+            getValue = staticmethod(lambda k: own[k])
+            containsKey = staticmethod(lambda k: k in own)
+            removeKey = staticmethod(lambda k: own.pop(k))
+            keys = staticmethod(lambda: iter(list(own)))
+
+            @staticmethod
+            def updateValue(k, v):
+                own[k] = v
+                held.written += sum(len(x) if isinstance(x, list) else 1 for x in v)
+
+        return Map
+
+    def registerTimer(self, at):
+        pass
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_a_busy_freshness_key_writes_in_proportion(spark, monkeypatch):
+    """Thousands of results of one key and day are a few spans; with any size of chunk the last answers are the table's."""
+    from pyspark.sql import Row
+
+    hour, rng = jobs.DAY // 24, random.Random(5)
+    rows = [Row(kind=rng.choice(["stored", "request"]), request_id=i, at=20_000 * jobs.DAY + rng.randrange(jobs.DAY)) for i in range(6000)]
+    rows += [Row(kind=rng.choice(["stored"] + ["request"] * 20), request_id=i, at=rng.randrange(20_010, 20_060) * jobs.DAY + rng.randrange(24) * hour) for i in range(6000, 6400)]
+    rng.shuffle(rows)
+    stored = sorted(r.at for r in rows if r.kind == "stored")
+    want = {r.request_id: "hit" if any(s <= r.at < s + 24 * hour for s in stored) else "miss" for r in rows if r.kind == "request"}
+    assert set(want.values()) == {"hit", "miss"}
+    for chunk in (7, 20_000):
+        monkeypatch.setattr(jobs, "CHUNK", chunk)
+        held, job, got = _Held(), jobs._Freshness({}, 24 * hour, 31 * jobs.DAY), {}
+        job.init(held)
+        for i in range(4):
+            for a in job.handleInputRows(("html", "a.in"), iter(rows[i::4]), held):
+                assert a.revision == (a.request_id in got)
+                got[a.request_id] = a.outcome
+        assert got == want
+        assert held.written < 20 * len(rows)
+        assert sum(len(v[0]) for v in held.maps["spans"].values()) < 200
