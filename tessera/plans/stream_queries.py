@@ -1,6 +1,7 @@
 """Queries that run a stream over the landed tables to its end, and loads of landed dumps."""
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -17,23 +18,26 @@ from tessera.sources.tables import SCHEMAS
 from tessera.streaming import jobs
 
 
-#: Files that a table is landed in before it is streamed, one a micro-batch; rows are dealt by a hash, so out of order.
+#: Micro-batches that a table is streamed in; rows are dealt by a hash, so out of order.
 LANDED_FILES = 5
+#: Rows of one landed file at most, on average: a micro-batch of a large table is several files, so no task reads a whole one.
+FILE_ROWS = 1_000_000
 
 
 class StreamTables:
-    """Like the table set, but base tables are read as streams: whole, in several files out of order, one a micro-batch."""
+    """Like the table set, but base tables are read as streams: whole, in several micro-batches out of order."""
 
     def __init__(self, t, files: int = LANDED_FILES):
-        self.spark, self.base, self._batch, self._files, self._landed = t.spark, t.base, t, files, {}
+        self.spark, self.base, self._batch, self._files, self._landed, self._parts = t.spark, t.base, t, files, {}, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in SCHEMAS:
             if name not in self._landed:
                 rows = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{name}.parquet")
                 self._landed[name] = f"{checkpoint_dir(self.spark)}/landed-{uuid.uuid4().hex}"
-                rows.repartition(self._files, F.xxhash64(*rows.columns)).write.parquet(self._landed[name])
-            return self.spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", 1).parquet(self._landed[name])
+                self._parts[name] = max(1, math.ceil(rows.count() / self._files / FILE_ROWS))
+                rows.repartition(self._files * self._parts[name], F.xxhash64(*rows.columns)).write.parquet(self._landed[name])
+            return self.spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", self._parts[name]).parquet(self._landed[name])
         return self.spark.sql(VIEWS[name], **{n: getattr(self, n) for n in inputs_of(name)})
 
 

@@ -184,3 +184,20 @@ def test_a_busy_freshness_key_writes_in_proportion(spark, monkeypatch):
         assert got == want
         assert held.written < 20 * len(rows)
         assert sum(len(v[0]) for v in held.maps["spans"].values()) < 200
+
+
+def test_a_large_table_lands_in_files_of_bounded_size(spark, monkeypatch):
+    from tessera.plans import stream_queries
+    from tessera.plans.views import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    small = stream_queries.StreamTables(tables)
+    small.lineitem
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 300)
+    large = stream_queries.StreamTables(tables)
+    batches = []
+    q = large.lineitem.writeStream.foreachBatch(lambda rows, i: batches.append(rows.count())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    landed = lambda s: [r["count"] for r in spark.read.parquet(s._landed["lineitem"]).groupBy(F.input_file_name()).count().collect()]
+    assert len(landed(small)) == 5 and max(landed(large)) < 600
+    assert len(batches) == 5 and sum(batches) == sum(landed(large)) == tables.lineitem.count()
