@@ -182,3 +182,54 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     got = leaders_by_keys(keys)
     assert got.filter("leader <> node - node % 2").isEmpty() and got.count() == n
     assert len(rounds) < 25
+
+
+def test_settled_names_are_not_compared_with_more_errors(spark, monkeypatch):
+    """Best company by name as by brute force, while names with an equal or nearest match stay out of the wider pass."""
+    from tessera.operators import resolution
+
+    rng = random.Random(41)
+    stems = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(30)]
+    hosts = [None, "a.in", "b.in", "c.in"]
+    companies = [(i, edited(rng, s, rng.randrange(3)) + " dental clinic", None, rng.choice(hosts)) for i, s in enumerate(stems * 3)]
+    records = [(1000 + i, edited(rng, s, rng.randrange(4)) + " dental clinic", None, rng.choice(hosts)) for i, s in enumerate(stems * 3)]
+    passes = []
+
+    def spy(left, right, **rest):
+        passes.append((rest["most"], {r.nm for r in left.select("nm").collect()}))
+        return fuzzy_name_pairs(left, right, **rest)
+
+    monkeypatch.setattr(resolution, "fuzzy_name_pairs", spy)
+    got = {
+        r.record_id: (r.company_id, round(r.confidence, 9))
+        for r in resolution.match_existing(
+            spark.createDataFrame(records, "record_id long, raw_name string, raw_phone string, raw_website string"),
+            spark.createDataFrame(companies, "company_id long, name string, phone string, website_url string"),
+        ).collect()
+    }
+    want = {}
+    for record, name, _, host in records:
+        found = [(0.9, -c) for c, _, _, h in companies if h == host and host]
+        for c, n, _, h in companies:
+            if not (h == host and host) and similar(name.strip(), n.strip()):
+                found.append((1 - distance(name.strip(), n.strip()) / max(len(name.strip()), len(n.strip())), -c))
+        if found:
+            best = max(found)
+            want[record] = (-best[1], round(best[0], 9))
+    assert got == want
+    assert [most for most, _ in passes] == [1, 1 << 20]
+    alone = {n.strip() for _, n, _, h in records if h is None}
+    near = {n for n in alone if any(distance(n, c.strip()) <= 1 for _, c, _, _ in companies)}
+    hosted = {n.strip() for _, n, _, h in records if h}
+    assert len(near - hosted) > 5 and not (near - hosted) & passes[1][1]
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_fuzzy_join_with_fewer_errors(spark, most):
+    rng = random.Random(13)
+    names = some_names(rng, 160)
+    left, right = names[::2], names[1::2]
+    a = spark.createDataFrame([(i, n, None) for i, n in enumerate(left)], "id long, nm string, g long")
+    b = spark.createDataFrame([(i, n, None) for i, n in enumerate(right)], "id long, nm string, g long")
+    got = {(r.a, r.b) for r in fuzzy_name_pairs(a, b, hot=5, most=most).collect()}
+    assert got == {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if similar(x, y) and distance(x, y) <= most} and got
