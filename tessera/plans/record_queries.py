@@ -20,6 +20,7 @@ from tessera.plans.catalog import (
     sql_phone,
     sql_values,
 )
+from tessera.session import cut_lineage
 from tessera.sources import dumps
 from tessera.sources.tables import read_table, visible_to
 
@@ -738,7 +739,8 @@ def _(t):
 def _(t):
     from tessera.operators.graphs import leaders_by_pairs
 
-    pairs = _name_pairs(t).select("a", "b")
+    # read for the nodes and for the rounds, so the join runs once
+    pairs = cut_lineage(_name_pairs(t).select("a", "b"))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     return leaders_by_pairs(nodes, pairs)
 

@@ -91,6 +91,18 @@ def test_one_shared_ending_is_met_in_bounded_cells(spark):
     assert got == {(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if similar(names[i], names[j])}
 
 
+def test_meetings_are_tested_on_both_sides_of_the_shared_part(spark):
+    """A pair is met at a part with exactly j - 1 errors to its left: one meeting of several is kept, and no pair is lost."""
+    rng = random.Random(41)
+    names = sorted({"".join(rng.choice("abcd") for _ in range(20)) for _ in range(40)})
+    names = sorted({*names, *(edited(rng, n, rng.randrange(1, 4)) for n in names for _ in range(5))})
+    rows = spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], "id long, nm string, g long").withColumn("sig", fuzzy.letter_counts("nm"))
+    met = fuzzy._pairs(rows, rows, "(x.s < x.l or x.id < y.id)", 5000, 2000, 1 << 20).collect()
+    want = {(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if similar(names[i], names[j])}
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in met} == want
+    assert len(met) < 1.5 * len(want)
+
+
 def test_letter_counts_never_exceed_the_distance(spark):
     rng = random.Random(31)
     pairs = [(w := "".join(rng.choice("abcxyzé 019") for _ in range(rng.randrange(1, 20))), edited(rng, w, rng.randrange(0, 5))) for _ in range(300)]

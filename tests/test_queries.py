@@ -50,3 +50,7 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_top_n_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(QUERIES["win_07_keep_last"](spark, SMALL))
+
+
+def test_leaders_do_not_repeat_the_name_join(spark):
+    assert "levenshtein" not in plan(QUERIES["ent_04_leaders"](spark, SMALL))
