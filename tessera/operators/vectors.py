@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators.skew import top_n_per
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16384  # a vector is sent once to each block of the other side, so few large blocks move least
+SPREAD = 4  # smaller tables still make this many blocks, if they hold a quarter of BLOCK_ROWS each
+STRIP_ROWS = 256  # left rows of a block whose products are held at once
 
 
 def cosine(a: str, b: str):
@@ -37,8 +40,34 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
+def _strips(left: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit rows) of a left block, a strip at a time, so that a task never holds the products of a whole block pair."""
+    for at in range(0, len(left), STRIP_ROWS):
+        strip = left.iloc[at : at + STRIP_ROWS]
+        yield strip["id"].to_numpy(), _unit_rows(strip["vec"])
+
+
+def _best(score: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the ``n`` highest scores of every row, highest first, the earlier column on ties, without sorting whole rows."""
+    rows, width = score.shape
+    if width <= n:
+        return np.argsort(-score, axis=1, kind="stable")
+    least = np.partition(score, width - n, axis=1)[:, width - n, None]
+    above = score > least
+    # all above the n-th score, and of those equal to it the first ones, as many as are missing
+    level = score == least
+    missing = n - above.sum(axis=1)
+    surplus = level.sum(axis=1) > missing
+    if surplus.any():
+        level[surplus] &= np.cumsum(level[surplus], axis=1) <= missing[surplus, None]
+    best = np.nonzero(above | level)[1].reshape(rows, n)
+    order = np.argsort(-np.take_along_axis(score, best, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(best, order, axis=1)
+
+
 def _block_count(df: DataFrame) -> int:
-    return max(1, math.ceil(df.count() / BLOCK_ROWS))
+    rows = df.count()
+    return max(1, math.ceil(rows / BLOCK_ROWS), min(SPREAD, math.ceil(SPREAD * rows / BLOCK_ROWS)))
 
 
 def _blocked(left: DataFrame, right: DataFrame):
@@ -67,20 +96,27 @@ def top_similar(queries: DataFrame, vectors: DataFrame, n: int, skip_self: bool)
                 {"query_id": "int64", "match_id": "int64", "similarity": "float64"}
             )
         right = right.sort_values("right_id")
-        ids = right["right_id"].to_numpy()
-        score = np.floor(_unit_rows(left["vec"]) @ _unit_rows(right["right_vec"]).T * 1000 + 0.5) / 1000
-        if skip_self:
-            score[left["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        best = np.argsort(-score, axis=1, kind="stable")[:, :n]
-        kept = np.take_along_axis(score, best, axis=1)
-        out = pd.DataFrame(
-            {
-                "query_id": np.repeat(left["id"].to_numpy(), best.shape[1]),
-                "match_id": ids[best].ravel(),
-                "similarity": kept.ravel(),
-            }
-        )
-        return out[np.isfinite(out["similarity"])]
+        ids, other = right["right_id"].to_numpy(), _unit_rows(right["right_vec"]).T
+        parts = []
+        for own, unit in _strips(left):
+            score = unit @ other
+            score *= 1000
+            score += 0.5
+            np.floor(score, out=score)
+            score /= 1000
+            score[np.isnan(score)] = -np.inf
+            if skip_self:
+                score[own[:, None] == ids[None, :]] = -np.inf
+            best = _best(score, n)
+            out = pd.DataFrame(
+                {
+                    "query_id": np.repeat(own, best.shape[1]),
+                    "match_id": ids[best].ravel(),
+                    "similarity": np.take_along_axis(score, best, axis=1).ravel(),
+                }
+            )
+            parts.append(out[np.isfinite(out["similarity"])])
+        return pd.concat(parts)
 
     partial = _blocked(queries, vectors).applyInPandas(block, "query_id long, match_id long, similarity double")
     return top_n_per(partial, ["query_id"], [F.desc("similarity"), F.asc("match_id")], n, rank="rank")
@@ -107,11 +143,15 @@ def vector_duplicates(vectors: DataFrame, threshold: float = 0.92) -> DataFrame:
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "first": []}).astype("int64")
-        ids = right["right_id"].to_numpy()
-        near = _unit_rows(left["vec"]) @ _unit_rows(right["right_vec"]).T >= threshold
-        first = np.where(near, ids[None, :], np.iinfo(np.int64).max).min(axis=1)
-        hit = near.any(axis=1)
-        return pd.DataFrame({"id": left["id"].to_numpy()[hit], "first": first[hit]})
+        right = right.sort_values("right_id")
+        ids, other = right["right_id"].to_numpy(), _unit_rows(right["right_vec"]).T
+        parts = []
+        for own, unit in _strips(left):
+            near = unit @ other >= threshold
+            hit = near.any(axis=1)
+            # ids ascend, so the first hit is the smallest one
+            parts.append(pd.DataFrame({"id": own[hit], "first": ids[near[hit].argmax(axis=1)]}))
+        return pd.concat(parts)
 
     firsts = _blocked(folded, folded).applyInPandas(block, "id long, first long").groupBy("id").agg(F.min("first").alias("first"))
     # a unit vector may fall a rounding step short of 1 with itself, so its own id is added back
