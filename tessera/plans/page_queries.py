@@ -445,7 +445,8 @@ _TOKENS = """(select doc_id, i as pos, case when (doc_id + i) % 11 = 0 then '##'
 
 
 def _tokens(t):
-    w = t.documents.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "w"))
+    # whole texts are dealt by document, so the many rows of their words need not be sent again to be ordered
+    w = t.documents.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "w"))
     n = F.col("doc_id") + F.col("pos")
     label = F.when(n % 3 == 0, "B-PER").when(n % 3 == 1, "I-PER").when(n % 7 == 2, "I-PER").otherwise("O")
     return w.select(

@@ -54,3 +54,8 @@ def test_top_n_is_cut_before_the_shuffle(spark):
 
 def test_leaders_do_not_repeat_the_name_join(spark):
     assert "levenshtein" not in plan(QUERIES["ent_04_leaders"](spark, SMALL))
+
+
+def test_words_are_not_shuffled_after_texts_are_cut(spark):
+    text = plan(QUERIES["ext_13_merge_entities"](spark, SMALL))
+    assert text.index("Generate") < text.index("Exchange") and text.count("Exchange") == 1
