@@ -348,7 +348,8 @@ def lookup_identity(records: DataFrame, known: DataFrame) -> DataFrame:
     A name hit needs similarity 0.85 and the known name to contain the record name's first ten letters.
     ``known`` is shaped like the result of :func:`identities`.
     """
-    keyed = _identity_keys(records)
+    # read three times and twice below, so both are written once
+    keyed, known = cut_lineage(_identity_keys(records)), cut_lineage(known.select("identity_id", "normalized_name", "phone_key", "host_key", "gstin", "cin"))
     kinds = {1: "phone_key", 2: "host_key", 3: "gstin", 4: "cin"}
 
     def melt(df: DataFrame, key: str) -> DataFrame:

@@ -59,3 +59,7 @@ def test_leaders_do_not_repeat_the_name_join(spark):
 def test_words_are_not_shuffled_after_texts_are_cut(spark):
     text = plan(QUERIES["ext_13_merge_entities"](spark, SMALL))
     assert text.index("Generate") < text.index("Exchange") and text.count("Exchange") == 1
+
+
+def test_lookup_derives_no_key_twice(spark):
+    assert "md5" not in plan(QUERIES["jon_06_lookup_identity"](spark, SMALL))
