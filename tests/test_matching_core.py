@@ -103,6 +103,42 @@ def test_meetings_are_tested_on_both_sides_of_the_shared_part(spark):
     assert len(met) < 1.5 * len(want)
 
 
+def framed_names(rng):
+    """Names of three frames and of none, with edits inside and outside of their cores."""
+    cores = ["".join(rng.choice("abcé𝔘") for _ in range(rng.randrange(1, 10))) for _ in range(110)]
+    names = {f(c) for c in cores for f in (lambda c: c + " dental clinic", lambda c: "visit " + c, lambda c: c + " dental clinics")}
+    names |= {edited(rng, n, rng.randrange(1, 4)) for n in sorted(names)[::4]}
+    names |= {"a" * i + " dental clinic" for i in range(1, 12)} | {"abc" * 6 + e + " dental clinic" for e in "ab"}
+    return sorted(n for n in names if n)
+
+
+@pytest.mark.parametrize("hot", [5, 5000])
+def test_names_of_a_frame_are_met_by_the_texts_of_their_cores(spark, hot):
+    names = framed_names(random.Random(3))
+    df = spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], "id long, nm string, g long")
+    frames = fuzzy._frames(df, 40)
+    assert frames.count() == 3 and 150 < fuzzy._framed(df, frames).filter("f is not null").count() < len(names)
+    near = {(i, j): distance(names[i], names[j]) for i in range(len(names)) for j in range(i + 1, len(names)) if similar(names[i], names[j])}
+    assert len(near) > 300
+    got = {(r.a, r.b): r.distance for r in fuzzy_name_pairs(df, hot=hot, block=hot, frame=40).collect()}
+    assert got == near
+    both = fuzzy_name_pairs(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), hot=hot, block=hot, frame=40, most=2).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in both} == {(i, j) for (i, j), d in near.items() if (i + j) % 2 == 1 and d <= 2}
+
+
+def test_a_crowded_key_of_one_frame_has_no_meetings(spark):
+    """All names end alike, so the parts of the ending are keys of all names; before, each such key met all with all."""
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("abcdefghij") for _ in range(9)) + " dental clinic" for _ in range(400)})
+    names += ["some other dental clinic", "any more dental clinic"]
+    df = spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], "id long, nm string, g long")
+    rows = fuzzy._framed(df, fuzzy._frames(df, 100)).withColumn("sig", fuzzy.letter_counts("nm"))
+    index, probe = fuzzy._cut_index(fuzzy._start_index(rows)), fuzzy._cut_probe(fuzzy._start_probe(rows))
+    met = lambda x, y: x.groupBy("key").count().join(y.groupBy("key").agg(F.count("*").alias("n")), "key").agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+    assert met(index, probe) > 300 * 300
+    assert met(*fuzzy._lanes(index, probe, 50)) < 20 * len(names)
+
+
 def test_letter_counts_never_exceed_the_distance(spark):
     rng = random.Random(31)
     pairs = [(w := "".join(rng.choice("abcxyzé 019") for _ in range(rng.randrange(1, 20))), edited(rng, w, rng.randrange(0, 5))) for _ in range(300)]
