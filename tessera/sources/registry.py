@@ -53,21 +53,38 @@ def hashing_embedder(dims: int = 384) -> Callable[[pd.Series], pd.Series]:
             for word in text.lower().split():
                 v[zlib.crc32(word.encode()) % dims] += 1.0
             norm = float(np.linalg.norm(v))
-            out.append((v / norm if norm else v).tolist())
+            out.append(v / np.float32(norm) if norm else v)
         return pd.Series(out)
 
     return embed
 
 
+#: Texts, and letters of texts, that a model gets at once: an Arrow batch holds up to 10,000 texts of any length.
+PIECE_ROWS, PIECE_LETTERS = 256, 1 << 20
+
+
+def scored(batches: Iterator[pd.Series], make_model: Callable[[], Callable[[pd.Series], pd.Series]]) -> Iterator[pd.Series]:
+    """The results of one model for all batches, a piece at a time, so that a task never holds those of a whole batch."""
+    model = make_model()
+    for batch in batches:
+        if batch.empty:
+            yield model(batch)
+        ends = batch.str.len().fillna(0).cumsum().to_numpy()
+        at = 0
+        while at < len(batch):
+            so_far = ends[at - 1] if at else 0
+            end = min(at + PIECE_ROWS, max(at + 1, int(np.searchsorted(ends, so_far + PIECE_LETTERS, side="right"))))
+            yield model(batch.iloc[at:end])
+            at = end
+
+
 def score_text(
     column: Column | str, make_model: Callable[[], Callable[[pd.Series], pd.Series]] = hashing_embedder, returns: str = "array<float>"
 ) -> Column:
-    """Apply a text model to a column in Arrow batches; the model is made once per task."""
+    """Apply a text model to a column in pieces of Arrow batches; the model is made once per task."""
 
     @F.pandas_udf(returns)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = make_model()
-        for batch in batches:
-            yield model(batch)
+        return scored(batches, make_model)
 
     return run(column)

@@ -37,3 +37,22 @@ def test_a_block_pair_is_multiplied_in_strips(spark, monkeypatch, job):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6
+
+
+def test_scoring_texts_holds_the_vectors_of_a_piece_only(spark):
+    """Before, a batch of 10,000 texts became lists of Python numbers, more than 100 MB of them."""
+    from tessera.sources import registry
+
+    texts = pd.Series([f"word {i} of many" for i in range(4000)] + [None, ""])
+    registry.hashing_embedder()(texts[:10])
+    tracemalloc.start()
+    sizes = [len(part) for part in registry.scored(iter([texts]), registry.hashing_embedder)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == len(texts) and max(sizes) <= registry.PIECE_ROWS and peak < 5e6
+    long = pd.Series(["x" * registry.PIECE_LETTERS] * 3 + ["y", "z"])
+    assert [len(part) for part in registry.scored(iter([long]), lambda: lambda s: s)] == [1, 1, 1, 2]
+    rows = spark.range(3000).selectExpr("id", "if(id % 7 = 0, null, concat('a b ', id, ' a')) as text").coalesce(2)
+    for row in rows.select("id", "text", registry.score_text("text").alias("v")).collect():
+        want = registry.hashing_embedder()(pd.Series([row.text]))[0]
+        assert np.allclose(row.v, want) and len(row.v) == 384
