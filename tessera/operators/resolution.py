@@ -157,7 +157,8 @@ def _star_edges(keyed: DataFrame) -> DataFrame:
 
 def resolve_by_keys(records: DataFrame) -> DataFrame:
     """(record_id, identity_id) from equal keys alone."""
-    keyed = _identity_keys(records)
+    # read for the nodes and twice for the edges, so the keys are made and written once
+    keyed = cut_lineage(_identity_keys(records))
     nodes = keyed.select(F.col("record_id").alias("node"))
     return connected_components(nodes, _star_edges(keyed)).select(
         F.col("node").alias("record_id"), F.col("component").alias("identity_id")

@@ -813,7 +813,8 @@ _CONF = """cast(least(100, 50 + case when phone_key is not null then 30 else 0 e
     + f" select identity_id, normalized_name, phone_key, host_key, gstin, cin, sources, cast(source_count as int) as source_count, records, {_CONF} as identity_confidence from i",
 )
 def _(t):
-    out = res.identities(t.discovery_results, res.resolve_by_keys(t.discovery_results))
+    records = cut_lineage(t.discovery_results)
+    out = res.identities(records, res.resolve_by_keys(records))
     return out.select(
         "identity_id", "normalized_name", "phone_key", "host_key", "gstin", "cin", F.array_join("sources", ",").alias("sources"),
         "source_count", "records", "identity_confidence",

@@ -149,3 +149,19 @@ def test_ingest_equals_the_scan(spark):
         for r in res.ingest_results(records(spark, *rows), companies).collect()
     }
     assert got == want
+
+
+def test_keys_of_identities_are_made_once(spark):
+    """Before, nodes and edges each made the keys of all records again."""
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(name):
+        made.add(1)
+        return name
+
+    rows = records(spark, *some_records(4, 40)).localCheckpoint()
+    counted = rows.withColumn("raw_name", F.udf(seen, "string")("raw_name"))
+    assert res.resolve_by_keys(counted).count() == 40
+    assert made.value == 40
