@@ -33,7 +33,7 @@ INDEX = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("symbols", "<u4"), ("ids
 SHARD_IDS, FREQUENT, PAIRS, ROUNDS = 1 << 20, 6, 4096, 7
 
 
-SLOTS = 20  # bits of the table of hashed pair counts
+SLOTS = 17  # bits of the table that tells which neighbours may be a pair to replace; it stays in a core's cache
 
 
 def _apart(keys: np.ndarray) -> np.ndarray:
@@ -45,52 +45,62 @@ def _apart(keys: np.ndarray) -> np.ndarray:
             left.add(a)
             right.add(b)
             out.append(key)
-    return np.array(out, np.int64)
+    return np.array(out, np.uint64)
 
 
-def _frequent(keys: np.ndarray, slot: np.ndarray, end: int, least: int) -> np.ndarray:
-    """Frequent pairs, most frequent first; a table of hashed counts sieves out the rare ones before they are counted."""
-    counts = np.bincount(slot, minlength=1 << SLOTS)
-    least = max(least, int(np.partition(counts, -2 * PAIRS)[-2 * PAIRS]))
-    some, counts = np.unique(keys[counts[slot] >= least], return_counts=True)
-    ok = (counts >= least) & (some >> 32 != end) & (some & 0xFFFFFFFF != end)
+def _frequent(keys: np.ndarray, end: int, least: int) -> np.ndarray:
+    """Frequent pairs, most frequent first."""
+    keys = np.sort(keys)
+    ends = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]]))
+    counts = np.diff(ends, prepend=-1)
+    often = np.flatnonzero(counts >= least)
+    some, counts = keys[ends[often]], counts[often]
+    ok = (some >> np.uint64(32) != end) & (some & np.uint64(0xFFFFFFFF) != end)
     return some[ok][np.argsort(-counts[ok], kind="stable")[:PAIRS]]
 
 
+def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOTS)
+
+
 def compress(ids: np.ndarray, first: int, end: int = END_ID, least: int = FREQUENT, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k, a row (left, right), is symbol ``first + k``; ids must be below ``first``."""
-    seq, rules = ids.astype(np.int64), [np.zeros(0, np.int64)]
+    seq, rules = ids.astype(np.uint32), [np.zeros(0, np.uint64)]
     base = first
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        keys = (seq[:-1] << 32) | seq[1:]
-        slot = (keys * -7046029254386353131) >> (64 - SLOTS) & ((1 << SLOTS) - 1)
-        pairs = _apart(_frequent(keys, slot, end, least))
+        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        pairs = _apart(_frequent(keys, end, least))
         if not len(pairs):
             break
-        place = np.full(1 << SLOTS, -1, np.int64)
-        own = (pairs * -7046029254386353131) >> (64 - SLOTS) & ((1 << SLOTS) - 1)
+        place = np.full(1 << SLOTS, -1, np.int16)
+        own = _slot((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
         place[own[::-1]] = np.arange(len(pairs))[::-1]
-        pairs = pairs[place[own] == np.arange(len(pairs))]  # of two pairs in one slot the rarer waits for the next round
-        place[own] = -1
-        own = (pairs * -7046029254386353131) >> (64 - SLOTS) & ((1 << SLOTS) - 1)
+        stays = place[own] == np.arange(len(pairs))  # of two pairs in one slot the rarer waits for the next round
+        pairs, own = pairs[stays], own[stays]
         place[own] = np.arange(len(pairs))
-        which = place[slot]
-        hit = (which >= 0) & (pairs[which] == keys)
-        same = hit & (seq[:-1] == seq[1:])
-        if same.any():  # in a run of one symbol every second place
-            at = np.arange(len(seq))
-            begins = np.maximum.accumulate(np.where(np.concatenate([[True], seq[:-1] != seq[1:]]), at, 0))
-            hit &= ~same | ((at - begins)[:-1] % 2 == 0)
-        seq[:-1][hit] = base + which[hit]
+        which = place[_slot(seq[:-1], seq[1:])]
+        hit = np.flatnonzero(which >= 0)
+        which = which[hit]
+        right = pairs[which] == keys[hit]
+        hit, which = hit[right], which[right]
+        same = np.flatnonzero(seq[hit] == seq[hit + 1])
+        if len(same):  # in a run of one symbol every second place
+            at = hit[same]
+            order = np.arange(len(at))
+            begins = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, order, 0))
+            stays = np.ones(len(hit), bool)
+            stays[same[(order - begins) % 2 == 1]] = False
+            hit, which = hit[stays], which[stays]
+        seq[hit] = base + which.astype(np.uint32)
         keep = np.ones(len(seq), bool)
-        keep[1:][hit] = False
+        keep[hit + 1] = False
         seq = seq[keep]
         rules.append(pairs)
         base += len(pairs)
     flat = np.concatenate(rules)
-    return seq, np.stack([flat >> 32, flat & 0xFFFFFFFF], axis=1)
+    return seq.astype(np.int64), np.stack([flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
 
 
 def lengths_of(rules: np.ndarray, first: int) -> np.ndarray:
@@ -120,15 +130,16 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
 
 
 def _pack(values: np.ndarray, bits: int) -> bytes:
-    spread = ((values[:, None] >> np.arange(bits)) & 1).astype(np.uint8)
-    return np.packbits(spread.ravel(), bitorder="little").tobytes()
+    spread = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    return np.packbits(spread[:, :bits].ravel(), bitorder="little").tobytes()
 
 
 def _unpack(data: bytes, bits: int, start: int, end: int) -> np.ndarray:
     low, high = start * bits // 8, -(-end * bits // 8)
     flat = np.unpackbits(np.frombuffer(data, np.uint8, high - low, low), bitorder="little")
-    flat = flat[start * bits - low * 8 :][: (end - start) * bits].reshape(-1, bits)
-    return flat @ (1 << np.arange(bits, dtype=np.int64))
+    spread = np.zeros((end - start, 32), np.uint8)
+    spread[:, :bits] = flat[start * bits - low * 8 :][: (end - start) * bits].reshape(-1, bits)
+    return np.packbits(spread, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64)
 
 
 def write_shard(doc_ids: list[int | None], blobs: list[bytes]) -> bytes:

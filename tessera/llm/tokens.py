@@ -51,8 +51,9 @@ class Encoder:
 
     def _piece(self, piece: str, blank: str = "") -> bytes:
         """The ids of a piece that has ``blank`` before it; kept if it may be met again."""
-        plain = _PLAIN.fullmatch(piece)
-        if plain:
+        if piece.isascii() and piece.isalpha():
+            out = self._model((blank + piece).lower() if self.words else blank + piece)
+        elif plain := _PLAIN.fullmatch(piece):
             word, *more = plain.groups()
             parts = [blank + word, *(p for p in more if p)]
             out = b"".join([self._model(p.lower() if self.words else p) for p in parts])

@@ -30,6 +30,18 @@ def test_frequent_pairs_are_replaced():
     assert tf.expand(symbols, rules, 10).tolist() == ids.tolist()
 
 
+def test_symbols_are_packed_in_bounded_space():
+    import tracemalloc
+
+    values = np.random.default_rng(1).integers(0, 1 << 16, 100_000)
+    tracemalloc.start()
+    packed = tf._pack(values, 16)
+    back = tf._unpack(packed, 16, 7, 100_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back.tolist() == values[7:].tolist() and peak < 100 * len(values)  # one byte a bit, not a long
+
+
 def test_files_against_the_library(spark):
     from tokenizers import Tokenizer
 
