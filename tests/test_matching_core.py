@@ -281,3 +281,18 @@ def test_fuzzy_join_with_fewer_errors(spark, most):
     b = spark.createDataFrame([(i, n, None) for i, n in enumerate(right)], "id long, nm string, g long")
     got = {(r.a, r.b) for r in fuzzy_name_pairs(a, b, hot=5, most=most).collect()}
     assert got == {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if similar(x, y) and distance(x, y) <= most} and got
+
+
+def test_rows_that_meet_nothing_are_not_written(spark, monkeypatch):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(12))
+    few, many = [word() for _ in range(5)], [word() for _ in range(400)] + ["".join([word(), word()]) for _ in range(100)]
+    many += [edited(rng, x, 1) for x in few]
+    rows = lambda names, at: spark.createDataFrame([(at + i, n, None) for i, n in enumerate(names)], "id long, nm string, g long")
+    written = []
+    cut = fuzzy.cut_lineage
+    monkeypatch.setattr(fuzzy, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    found = {(r.a, r.b) for r in fuzzy_name_pairs(rows(few, 0), rows(many, 1000)).select("a", "b").collect()}
+    assert found == {(i, 1000 + j) for i, x in enumerate(few) for j, y in enumerate(many) if similar(x, y)} and found
+    keyed = [df for df in written if "key" in df.columns and "e_left" in df.columns]
+    assert sum(df.count() for df in keyed) < 2000  # of the many names, those that share a part with one of the few
