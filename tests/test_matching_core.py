@@ -126,6 +126,14 @@ def test_names_of_a_frame_are_met_by_the_texts_of_their_cores(spark, hot):
     assert {tuple(sorted((r.a, r.b))) for r in both} == {(i, j) for (i, j), d in near.items() if (i + j) % 2 == 1 and d <= 2}
 
 
+def test_cores_made_into_keys_are_not_sent_to_the_driver(spark):
+    names = framed_names(random.Random(3))
+    df = spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], "id long, nm string, g long")
+    for pairs in (fuzzy_name_pairs(df, frame=40), fuzzy_name_pairs(df.filter("id % 9 = 0"), df.filter("id % 9 > 0"), frame=10)):
+        joins = [x for x in pairs._jdf.queryExecution().executedPlan().toString().splitlines() if "levenshtein(core" in x and "Join" in x]
+        assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_a_crowded_key_of_one_frame_has_no_meetings(spark):
     """All names end alike, so the parts of the ending are keys of all names; before, each such key met all with all."""
     rng = random.Random(5)
