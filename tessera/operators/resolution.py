@@ -150,7 +150,8 @@ def _star_edges(keyed: DataFrame) -> DataFrame:
         F.explode(F.array(*[F.concat(F.lit(tag), F.col(c)) for tag, c in IDENTITY_KEYS.items()])).alias("key"),
     ).filter("key is not null")
     first = long.groupBy("key").agg(F.min("record_id").alias("first"))
-    return long.join(first, "key").filter("record_id <> first").select(
+    # Spark takes the keys for as small as the records they are made of, so without the hint they are sent to the driver as a broadcast
+    return long.hint("merge").join(first, "key").filter("record_id <> first").select(
         F.col("record_id").alias("a"), F.col("first").alias("b")
     )
 

@@ -165,3 +165,9 @@ def test_keys_of_identities_are_made_once(spark):
     counted = rows.withColumn("raw_name", F.udf(seen, "string")("raw_name"))
     assert res.resolve_by_keys(counted).count() == 40
     assert made.value == 40
+
+
+def test_keys_of_records_are_not_sent_to_the_driver(spark):
+    edges = res._star_edges(res.cut_lineage(res._identity_keys(records(spark, *some_records(2, 40)))))
+    joins = [x for x in edges._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
