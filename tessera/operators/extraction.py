@@ -1,12 +1,14 @@
 """Facts taken from pages and texts: contacts, technology, links, sections, people, listing cards."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import StructType
 
 from tessera.functions import rules
 from tessera.functions.keys import compact, digits, host_key, points, present
@@ -978,15 +980,32 @@ def merge_entities(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     return named.filter((F.col("score") > 0.7) & (F.size(F.split("name", " ")) >= 2))
 
 
-@F.pandas_udf(ArrayType(StructType().add("at", "integer").add("snippet", "string")))
-def _near_names(texts: pd.Series, lowered: pd.Series, names: pd.Series) -> pd.Series:
-    """Where each name first is in the lowered text (from 1; 0: nowhere), and the text around that place."""
+#: Texts whose names are looked up together; keeps a Python worker small when texts are long or have many names.
+NEAR_TEXTS = 32
 
-    def places(text: str | None, low: str | None, wanted) -> list[dict]:
-        found = [0 if low is None else low.find(name) + 1 for name in wanted]
-        return [{"at": at, "snippet": text[max(at - 21, 0) : at + 149] if at else None} for at in found]
 
-    return pd.Series([places(*row) for row in zip(texts, lowered, names)], dtype=object)
+def _near_names(rows: DataFrame, key: str) -> DataFrame:
+    """(key, name, score, at, snippet): where each person's name first is in the lowered text (from 1; 0: nowhere), and the text around.
+
+    ``rows`` has the key, ``text``, ``low`` and ``people``. Rows come out a few texts at a time, so neither side holds a batch whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, NEAR_TEXTS):
+                part = batch.slice(start, NEAR_TEXTS)
+                texts, lows = part.column("text").to_pylist(), part.column("low").to_pylist()
+                people = part.column("people")
+                owner = np.repeat(np.arange(part.num_rows), people.value_lengths().to_numpy())
+                wanted, names, scores = (pc.struct_field(people.flatten(), c) for c in ("name_key", "name", "score"))
+                at = [0 if lows[i] is None else lows[i].find(name) + 1 for i, name in zip(owner, wanted.to_pylist())]
+                snippets = [texts[i][max(p - 21, 0) : p + 149] if p else None for i, p in zip(owner, at)]
+                columns = [part.column(key).take(pa.array(owner)), names, scores, pa.array(at, pa.int32()), pa.array(snippets, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "name", "score", "at", "snippet"])
+
+    person = rows.schema["people"].dataType.elementType
+    schema = StructType([rows.schema[key], person["name"], person["score"]]).add("at", "integer").add("snippet", "string")
+    return rows.select(key, "text", "low", "people").mapInArrow(run, schema)
 
 
 def persons_to_contacts(persons: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -1000,14 +1019,9 @@ def persons_to_contacts(persons: DataFrame, texts: DataFrame, key: str = "doc_id
     listed = firsts.groupBy(key).agg(F.collect_list(F.struct("name_key", "r.name", "r.score")).alias("people"))
     once = texts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(text).alias("text"))
     j = listed.join(once.withColumn("low", F.lower("text")), key)
-    # near and title are made before a generator, so they are not worked out again wherever they are used
-    j = j.withColumn("near", F.explode(F.array(_near_names("text", "low", F.col("people.name_key"))))).drop("text", "low")
-
-    def person(x: Column, place: Column) -> Column:
-        title = F.nullif(F.trim(F.regexp_extract(place["snippet"], r"(?:–|-|,|\n)\s*([A-Z][a-zA-Z\s&,]{5,60}?)(?:\n|$)", 1)), F.lit(""))
-        return F.struct(x["name"].alias("name"), F.when(place["at"] > 0, title).alias("title"), x["score"].alias("score"))
-
-    rows = j.select(key, F.inline(F.zip_with("people", "near", person)))
+    title = F.nullif(F.trim(F.regexp_extract("snippet", r"(?:–|-|,|\n)\s*([A-Z][a-zA-Z\s&,]{5,60}?)(?:\n|$)", 1)), F.lit(""))
+    # the title is made before a generator, so it is not worked out again wherever it is used
+    rows = _near_names(j, key).withColumn("title", F.explode(F.array(F.when(F.col("at") > 0, title))))
     leading = any_word(F.lower("title"), rules.LEADERSHIP_TITLES)
     score = F.when(leading, 80).when(F.col("title").isNotNull(), 50).otherwise(20)
     rows = rows.withColumn("decision_maker_score", score)

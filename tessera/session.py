@@ -13,6 +13,8 @@ JOB_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # of what one Python step gets at once, so long texts do not make a batch of rows large
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 

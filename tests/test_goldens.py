@@ -1,4 +1,7 @@
 """Hand-made rows with hand-worked results."""
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,6 +289,25 @@ def test_listing_cards_and_registry_pages(spark):
     assert (r.email, r.address, r.directors) == ("a@b.in", "1 Road, Pune", ["RAJ SHAH", "ANN LEE"])
 
 
+def test_names_are_looked_up_a_few_texts_at_a_time(spark):
+    class Rows:
+        schema = spark.createDataFrame([], "doc_id long, text string, low string, people array<struct<name_key:string,name:string,score:double>>").schema
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, schema: run
+
+    names = [f"ann {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)]
+    row = {"text": " ".join(names).title() * 10, "people": [{"name_key": n, "name": n.title(), "score": 0.5} for n in names]}
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, **row, "low": row["text"].lower()} for i in range(3000)])
+    tracemalloc.start()
+    rows = 0
+    for out in ext._near_names(Rows(), "doc_id")([batch]):
+        assert set(out.column("at").to_pylist()) == {1 + 7 * i for i in range(90)}
+        rows += out.num_rows
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    assert rows == 3000 * 90 and peak < 10
+
+
 def test_contacts_near_names(spark):
     persons = spark.createDataFrame([(1, 0, "Raj Shah", 0.9)], "doc_id long, start int, name string, score double")
     texts = spark.createDataFrame([(1, "Meet Raj Shah, Managing Director\nof Acme")], "doc_id long, text string")
